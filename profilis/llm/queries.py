@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import cache
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from profilis.llm import quality, secrets
 from profilis.llm.common import table
 from profilis.llm.sentencepiece_codec import encode_documents
 from profilis.llm.token_counts import count_tokens
@@ -19,13 +22,32 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), PIECE_MODEL)
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.fit_quality(docs, table(spark, sf_dir, "labels"), ~quality.held_out(F.col("doc_id")))
+    scored = quality.score_quality(docs, model)
+    return scored.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
+@cache
+def secret_model() -> secrets.SecretModel:
+    """Trained once a process on generated findings."""
+    return secrets.train_secrets()
+
+
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(spark, sf_dir, "documents"), PIECE_MODEL)
 
 
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan_secrets(table(spark, sf_dir, "documents"), secret_model())
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_token_counts": op4_token_counts,
+    "op6_quality": op6_quality,
     "op9_sentencepiece": op9_sentencepiece,
+    "op10_secrets": op10_secrets,
 }
 
 ORACLES: dict[str, str] = {}
