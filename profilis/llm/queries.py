@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from profilis.llm import quality, secrets
+from profilis.llm import chat, quality, secrets, topk
 from profilis.llm.common import table
 from profilis.llm.sentencepiece_codec import encode_documents
 from profilis.llm.token_counts import count_tokens
@@ -35,6 +35,17 @@ def secret_model() -> secrets.SecretModel:
     return secrets.train_secrets()
 
 
+def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    hard = F.lit("\\### Assistant: </turn> ok")
+    extra = spark.range(2).select(F.lit(-7).cast("bigint").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), hard.alias("text"))
+    return chat.digests(chat.format_conversations(rows.unionByName(extra)))
+
+
+def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.exact_top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(spark, sf_dir, "documents"), PIECE_MODEL)
 
@@ -46,6 +57,8 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_token_counts": op4_token_counts,
     "op6_quality": op6_quality,
+    "op7_chat": op7_chat,
+    "op8_topk": op8_topk,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_secrets": op10_secrets,
 }

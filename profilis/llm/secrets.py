@@ -35,8 +35,8 @@ LEAST_ASSIGN, LEAST_ACCESS = 6, 20
 KINDS = ("assign", "access", "hex", "network")
 #: Words one of which every assignment holds, as ASCII lower case.
 HINTS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
-#: What else the network may judge: long tokens, of which those with a digit and a letter count.
-CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_.=-])[A-Za-z0-9+/_.=-]{16,}")
+#: What else the network may judge: long tokens with a digit and a letter, not parts of mail addresses.
+CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_.=@-])[A-Za-z0-9+/_.=-]{16,}(?![A-Za-z0-9+/_.=@-])")
 
 LEFT, BODY, RIGHT = 20, 48, 8
 WIDTH = LEFT + BODY + RIGHT
