@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from profilis.llm import chat, quality, secrets, topk
 from profilis.llm.common import table
+from profilis.llm.oracles import ORACLES  # noqa: F401
 from profilis.llm.sentencepiece_codec import encode_documents
 from profilis.llm.token_counts import count_tokens
 
@@ -62,5 +63,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_sentencepiece": op9_sentencepiece,
     "op10_secrets": op10_secrets,
 }
-
-ORACLES: dict[str, str] = {}

@@ -128,7 +128,7 @@ def _one_pass(whole: DataFrame, asked: pa.Table, k: int) -> DataFrame:
         for b, (scores, found) in best.items():
             yield _packed(b, node, scores, found)
 
-    def tree(key, table: pa.Table) -> pa.Table:
+    def tree(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         n = len(shipped.value[key[0].as_py()][0])
         lists = [(np.frombuffer(s, np.int64).reshape(n, k), np.frombuffer(i, np.int64).reshape(n, k)) for s, i in zip(table["scores"].to_pylist(), table["ids"].to_pylist(), strict=True)]
         return pa.Table.from_batches([_packed(key[0].as_py(), key[1].as_py(), *merged(lists, k))])
