@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from profilis.llm import chat, licenses, quality, secrets, topk
+from profilis.llm import chat, decontaminate, licenses, quality, secrets, topk
 from profilis.llm.common import table
 from profilis.llm.oracles import ORACLES  # noqa: F401
 from profilis.llm.sentencepiece_codec import encode_documents
@@ -19,6 +19,10 @@ from profilis.llm.token_counts import count_tokens
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
 
 
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents")).drop("detections")
 
@@ -60,6 +64,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_decontaminate": op2_decontaminate,
     "op3_licenses": op3_licenses,
     "op4_token_counts": op4_token_counts,
     "op6_quality": op6_quality,
