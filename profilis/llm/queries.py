@@ -9,8 +9,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from profilis.llm import chat, decontaminate, licenses, quality, secrets, topk
-from profilis.llm.common import table
+from profilis.llm import chat, decontaminate, licenses, lm, quality, secrets, topk
+from profilis.llm.common import crc_mod, table
 from profilis.llm.oracles import ORACLES  # noqa: F401
 from profilis.llm.sentencepiece_codec import encode_documents
 from profilis.llm.token_counts import count_tokens
@@ -19,6 +19,10 @@ from profilis.llm.token_counts import count_tokens
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
 
 
+def op1_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_texts(table(spark, sf_dir, "documents"), crc_mod(F.col("doc_id"), 7) != 2)
+
+
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -64,6 +68,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_lm": op1_lm,
     "op2_decontaminate": op2_decontaminate,
     "op3_licenses": op3_licenses,
     "op4_token_counts": op4_token_counts,
