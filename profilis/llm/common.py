@@ -50,3 +50,13 @@ def crc_mod(column, n: int):
 
 def parts(total: int, each: int) -> int:
     return max(1, math.ceil(total / each))
+
+
+#: Ids that may be broadcast: about 16 MB on a worker. Beyond it rows are shuffled.
+BROADCAST_IDS = 1 << 20
+
+
+def by_ids(df: DataFrame, ids: DataFrame, column: str, how: str) -> DataFrame:
+    """Semi or anti join with a one-column frame of distinct ids, whose size is checked."""
+    small = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    return df.join(F.broadcast(ids) if small else ids, column, how)

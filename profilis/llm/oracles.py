@@ -32,4 +32,22 @@ with v as (
 select query_id, cast(rank as integer) as rank, vec_id, score from r where rank <= 5
 """
 
-ORACLES: dict[str, str] = {"op7_chat": OP7_CHAT, "op8_topk": OP8_TOPK}
+OP5_MINHASH = r"""
+with recursive w as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as words from documents
+), s as (
+  select distinct doc_id, case when len(words) < 5 then array_to_string(words, ' ') else array_to_string(words[i : i + 4], ' ') end as shingle
+  from (select doc_id, words, unnest(range(1, greatest(len(words) - 3, 2))) as i from w where len(words) > 0)
+), n as (
+  select w.doc_id, count(s.shingle) as n from w left join s using (doc_id) group by w.doc_id
+), c as (
+  select a.doc_id as a, b.doc_id as b, count(*) as shared from s a join s b on a.shingle = b.shingle and a.doc_id < b.doc_id group by all
+), l as (
+  select a, b from c join n x on x.doc_id = a join n y on y.doc_id = b where 100 * shared >= 85 * (x.n + y.n - shared)
+), e as (select a, b from l union all select b, a from l), r as (
+  select doc_id as id, doc_id as low from n union select e.b, r.low from r join e on e.a = r.id where r.low < e.b
+), m as (select id, min(low) as low from r group by id)
+select n.doc_id, n.n as n_shingles, m.low as component_id, n.doc_id = m.low as kept from n join m on m.id = n.doc_id
+"""
+
+ORACLES: dict[str, str] = {"op5_minhash": OP5_MINHASH, "op7_chat": OP7_CHAT, "op8_topk": OP8_TOPK}

@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from profilis.llm import chat, decontaminate, licenses, lm, quality, secrets, topk
+from profilis.llm import chat, decontaminate, licenses, lm, minhash, quality, secrets, topk
 from profilis.llm.common import crc_mod, table
 from profilis.llm.oracles import ORACLES  # noqa: F401
 from profilis.llm.sentencepiece_codec import encode_documents
@@ -35,6 +35,10 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), PIECE_MODEL)
 
 
+def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = quality.fit_quality(docs, table(spark, sf_dir, "labels"), ~quality.held_out(F.col("doc_id")))
@@ -72,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_decontaminate": op2_decontaminate,
     "op3_licenses": op3_licenses,
     "op4_token_counts": op4_token_counts,
+    "op5_minhash": op5_minhash,
     "op6_quality": op6_quality,
     "op7_chat": op7_chat,
     "op8_topk": op8_topk,
