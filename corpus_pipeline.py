@@ -1,23 +1,60 @@
-"""A cleaning pipeline over documents: each stage works on all that the one before kept."""
+"""A cleaning pipeline over documents: each stage works on all that the one before kept.
+
+1. quality: texts that the compression classifier rejects go
+2. near_duplicates: of each group of near duplicates the document with the least id stays
+3. decontamination: documents that hold a benchmark item, even with a few edits, go
+4. secrets: findings are masked in the texts, and n_chars follows
+5. encoding: SentencePiece ids of what is left, as digests
+
+Stages 1 to 4 return the columns they were given. Rows with a null id are never near
+duplicates, null texts are empty, and an empty table gives an empty result.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from profilis.llm.queries import PIECE_MODEL
+from profilis.llm import decontaminate, minhash, secrets
+from profilis.llm import quality as classifier
+from profilis.llm.common import by_ids, cut, table
+from profilis.llm.queries import PIECE_MODEL, secret_model
 from profilis.llm.sentencepiece_codec import encode_documents
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    model = classifier.fit_quality(docs, table(spark, sf_dir, "labels"), ~classifier.held_out(F.col("doc_id")))
+    return classifier.keep_good(docs, model)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    found = minhash.near_duplicates(docs)
+    gone = cut(found.where("not kept and doc_id is not null").select("doc_id").distinct())
+    return by_ids(docs, gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mask(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    masked = secrets.mask_secrets(docs, secret_model())
+    return masked.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else masked
+
+
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Digests of the SentencePiece ids of each text that is left."""
     return encode_documents(docs, PIECE_MODEL)
 
 
 STAGES: list[tuple[str, Stage]] = [
+    ("quality", quality),
+    ("near_duplicates", near_duplicates),
+    ("decontamination", decontamination),
+    ("secrets", mask),
     ("encoding", encoding),
 ]
 
@@ -26,7 +63,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = cut(stage(spark, docs, sf_dir))  # stages read their input more than once
+    return STAGES[-1][1](spark, docs, sf_dir)

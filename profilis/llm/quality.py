@@ -145,3 +145,15 @@ def score_quality(docs: DataFrame, model: QualityModel, id_col: str = "doc_id",
 
 def held_out(column: Column) -> Column:
     return crc_mod(column, 3) == 1
+
+
+def keep_good(docs: DataFrame, model: QualityModel, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
+    """The rows of docs whose score reaches the threshold, with all their columns; no shuffle."""
+    small_batches(docs.sparkSession)
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(model.scores(model.differences(batch.column(at).to_pylist())) >= threshold, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
