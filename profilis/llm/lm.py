@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from profilis.llm.common import cut, parts, text_bytes
 
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 7 << 20
 #: One training text in DELETED serves the weights.
 DELETED = 10
 BUCKETS, STEPS = 24, 4  # context-frequency buckets; steps per octave in EM's statistics
@@ -71,11 +71,13 @@ class Block:
             flat.append(row)
             sizes[i] = len(words) + 1
         all_ids = np.concatenate(flat) if flat else np.zeros(0, dtype=np.int64)
+        del flat
         last = np.cumsum(sizes + 1) - 1
         is_token, is_left = np.ones(len(all_ids), dtype=bool), np.ones(len(all_ids), dtype=bool)
         is_token[last - sizes], is_left[last] = False, False
         self.sizes, self.left, self.word = sizes, all_ids[is_left], all_ids[is_token]
-        self.doc = np.repeat(np.arange(len(texts)), sizes)
+        self.doc = np.repeat(np.arange(len(texts), dtype=np.int32), sizes)
+        del all_ids, is_token, is_left
         hashes = np.array([xxhash.xxh3_64_intdigest(w if isinstance(w, bytes) else b"\0" + w[0]) for w in ids], dtype=np.uint64)
         order = np.argsort(hashes)
         self.keys = hashes[order]
