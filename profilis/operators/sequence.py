@@ -11,19 +11,22 @@ from profilis.functions.dates import age_bucket, days_between, delta_bucket, mic
 from profilis.functions.stats import r6, top_k
 from profilis.operators.sessions import sessionize
 
-ORDER = W.partitionBy("client_id").orderBy("timestamp", "event_id")
+
+def in_order() -> W:
+    """Each client's events in their total order."""
+    return W.partitionBy("client_id").orderBy("timestamp", "event_id")
 
 
 def transition_matrix(events: DataFrame) -> DataFrame:
     """P(next type | previous type) over each client's order."""
-    pairs = events.select(F.lag("event_type").over(ORDER).alias("prev"), F.col("event_type").alias("next")).where("prev is not null")
+    pairs = events.select(F.lag("event_type").over(in_order()).alias("prev"), F.col("event_type").alias("next")).where("prev is not null")
     counts = pairs.groupBy("prev", "next").agg(F.count("*").alias("n"))
     return counts.withColumn("p", r6(F.col("n") / F.sum("n").over(W.partitionBy("prev"))))
 
 
 def event_ngrams(events: DataFrame, n: int, k: int, least: int = 2) -> DataFrame:
     """Each client's k most frequent n-grams of event types with at least ``least`` occurrences."""
-    grams = events.select("client_id", F.concat_ws(" -> ", "event_type", *[F.lead("event_type", i).over(ORDER) for i in range(1, n)]).alias("gram"), F.lead("event_type", n - 1).over(ORDER).alias("end"))
+    grams = events.select("client_id", F.concat_ws(" -> ", "event_type", *[F.lead("event_type", i).over(in_order()) for i in range(1, n)]).alias("gram"), F.lead("event_type", n - 1).over(in_order()).alias("end"))
     counts = grams.where("end is not null").groupBy("client_id", "gram").agg(F.count("*").alias("n"))
     counts = counts.withColumn("share", r6(F.col("n") / F.sum("n").over(W.partitionBy("client_id"))))
     return top_k(counts.where(F.col("n") >= least), ["client_id"], [F.desc("n"), F.asc("gram")], k)
@@ -31,7 +34,7 @@ def event_ngrams(events: DataFrame, n: int, k: int, least: int = 2) -> DataFrame
 
 def ping_pong(events: DataFrame) -> DataFrame:
     """Places where a client's types go A, B, A, B with A unlike B."""
-    e = lambda i: F.lead("event_type", i).over(ORDER)
+    e = lambda i: F.lead("event_type", i).over(in_order())
     w = events.select("client_id", F.col("event_type").alias("a"), e(1).alias("b"), e(2).alias("c"), e(3).alias("d"))
     return w.where("a = c and b = d and a <> b").groupBy("client_id").agg(F.count("*").alias("n"))
 
@@ -49,14 +52,14 @@ def browse_trigrams(events: DataFrame, gap_s: int, kinds: tuple[str, ...] = ("pa
 def category_transitions(events: DataFrame, kinds: tuple[str, ...] = ("page_visit", "product_buy")) -> DataFrame:
     """Edges between unlike neighbouring categories of each client's order."""
     e = events.where(F.col("event_type").isin(*kinds) & F.col("category_id").isNotNull())
-    pairs = e.select(F.lag("category_id").over(ORDER).alias("src"), F.col("category_id").alias("dst")).where("src is not null and src <> dst")
+    pairs = e.select(F.lag("category_id").over(in_order()).alias("src"), F.col("category_id").alias("dst")).where("src is not null and src <> dst")
     return pairs.groupBy("src", "dst").agg(F.count("*").alias("w"))
 
 
 def client_category_transitions(events: DataFrame) -> DataFrame:
     """The same per client over all events with a category."""
     e = events.where(F.col("category_id").isNotNull())
-    pairs = e.select("client_id", F.lag("category_id").over(ORDER).alias("src"), F.col("category_id").alias("dst")).where("src is not null and src <> dst")
+    pairs = e.select("client_id", F.lag("category_id").over(in_order()).alias("src"), F.col("category_id").alias("dst")).where("src is not null and src <> dst")
     return pairs.groupBy("client_id", "src", "dst").agg(F.count("*").alias("w"))
 
 
