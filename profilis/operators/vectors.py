@@ -77,11 +77,15 @@ def ensemble_weights(scores: dict[str, list[float]], penalty: float = 0.2, least
     return dict(zip(names, w.tolist(), strict=True))
 
 
+def _scaled(v: Column, by: float) -> Column:
+    return F.transform(v, lambda x: x * by)
+
+
 def ensemble(parts: list[tuple[DataFrame, float]], id_col: str, vector: str) -> DataFrame:
     """Weighted sum of normalised vectors over common ids, normalised again."""
     joined, total = None, None
     for i, (df, weight) in enumerate(parts):
-        one = df.select(id_col, F.transform(normalised(F.col(vector)), lambda x, w=weight: x * w).alias(f"v{i}"))
+        one = df.select(id_col, _scaled(normalised(F.col(vector)), weight).alias(f"v{i}"))
         joined = one if joined is None else joined.join(one, id_col)
         total = F.col(f"v{i}") if total is None else F.zip_with(total, F.col(f"v{i}"), lambda x, y: x + y)
     return joined.select(id_col, normalised(total).alias("vector"))
