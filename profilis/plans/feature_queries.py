@@ -9,22 +9,22 @@ from profilis.plans.activity_queries import SESSION_ROWS
 from profilis.plans.behaviour_queries import ASOF
 from profilis.plans.profile_queries import rich_text
 from profilis.plans.registry import NOW, X, days, query, sessions_sql
-from profilis.sources.events import raw_events, ubm_events, with_urls
+from profilis.sources.events import raw_events, client_events, with_urls
 
 
 @query("wide_features")
 def wide_features(spark, sf_dir):
-    return extractors.wide_features(ubm_events(spark, sf_dir))
+    return extractors.wide_features(client_events(spark, sf_dir))
 
 
 @query("compact_metrics")
 def compact_metrics(spark, sf_dir):
-    return extractors.compact_metrics(ubm_events(spark, sf_dir))
+    return extractors.compact_metrics(client_events(spark, sf_dir))
 
 
 @query("extra_metrics")
 def extra_metrics(spark, sf_dir):
-    return extractors.extra_metrics(ubm_events(spark, sf_dir))
+    return extractors.extra_metrics(client_events(spark, sf_dir))
 
 
 @query("global_stats", X + ASOF + ", " + SESSION_ROWS.replace("s as", "s as", 1).replace(" r as", " rr as") + f""", u as (select client_id, max(timestamp) filter (event_type = 'product_buy') as b, count(*) as n from x group by 1),
@@ -32,7 +32,7 @@ g as (select count(*) as n_users, count(b) as n_buyers, cast(sum(n) as bigint) a
 k as (select count(*) as n_carts_bought, round(avg(minutes), 6) as cart_minutes from r), z as (select count(*) as n_sessions, round(avg(t.m), 6) as mean_minutes, round(avg(t.n), 6) as mean_events from t)
 select * from g, k, z""")
 def global_stats(spark, sf_dir):
-    return extractors.global_stats(ubm_events(spark, sf_dir))
+    return extractors.global_stats(client_events(spark, sf_dir))
 
 
 @query("relevant_events", X + "select client_id, event_id, event_type from x where client_id % 3 <> 0")
@@ -44,11 +44,11 @@ def relevant_events(spark, sf_dir):
 
 @query("rare_as_null", X + ", b as (select sku from x where sku is not null group by 1 order by count(*) desc, sku limit 50) select event_id, b.sku from x left join b on b.sku = x.sku")
 def rare_as_null(spark, sf_dir):
-    return extractors.rare_as_null(ubm_events(spark, sf_dir), "sku", 50).select("event_id", "sku")
+    return extractors.rare_as_null(client_events(spark, sf_dir), "sku", 50).select("event_id", "sku")
 
 
 def _with_urls(spark, sf_dir):
-    return with_urls(ubm_events(spark, sf_dir), spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    return with_urls(client_events(spark, sf_dir), spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
 @query("url_sku_edges", X + ", n as (select count(*) as n from pages), v as (select x.*, url from x cross join n left join pages on event_type = 'page_visit' and page_id = k % n.n), " + sessions_sql("v", 86400) + """,
@@ -70,4 +70,4 @@ def url_vectors(spark, sf_dir):
 @query("raw_sequence_fill")
 def raw_sequence_fill(spark, sf_dir):
     texts = rich_text(spark, sf_dir).withColumnRenamed("rich_text", "text")
-    return extractors.with_raw_sequences(texts, extractors.sequences_of(ubm_events(spark, sf_dir), k=20))
+    return extractors.with_raw_sequences(texts, extractors.sequences_of(client_events(spark, sf_dir), k=20))

@@ -8,7 +8,7 @@ from profilis.functions import text as tx
 from profilis.functions.stats import r6
 from profilis.operators import dataset, graph, metrics, pairs, price, propensity, sequence, sessions, vectors
 from profilis.plans.registry import NOW, X, days, query
-from profilis.sources.events import ubm_events
+from profilis.sources.events import client_events
 
 DAY = 86400
 
@@ -16,12 +16,12 @@ DAY = 86400
 # -- metrics ----------------------------------------------------------------------------
 @query("burst_score", X + ", h as (select client_id, hour(timestamp) as h, count(*) as n from x group by all) select client_id, round((sum(n * n) / 24 - pow(sum(n) / 24, 2)) / (sum(n) / 24), 6) as burst from h group by 1")
 def burst_score(spark, sf_dir):
-    return metrics.burst_score(ubm_events(spark, sf_dir))
+    return metrics.burst_score(client_events(spark, sf_dir))
 
 
 @query("time_of_day_variance", X + "select client_id, round(1 - sqrt(pow(avg(cos(2 * pi() * hour(timestamp) / 24)), 2) + pow(avg(sin(2 * pi() * hour(timestamp) / 24)), 2)), 6) as tod_var from x group by 1")
 def time_of_day_variance(spark, sf_dir):
-    return metrics.time_of_day_variance(ubm_events(spark, sf_dir))
+    return metrics.time_of_day_variance(client_events(spark, sf_dir))
 
 
 def _entropy(value: str, out: str, where: str = "true") -> str:
@@ -30,36 +30,36 @@ def _entropy(value: str, out: str, where: str = "true") -> str:
 
 @query("weekday_entropy", _entropy("isodow(timestamp)", "weekday_entropy"))
 def weekday_entropy(spark, sf_dir):
-    return metrics.weekday_entropy(ubm_events(spark, sf_dir))
+    return metrics.weekday_entropy(client_events(spark, sf_dir))
 
 
 @query("price_entropy", _entropy("price_bucket", "price_entropy", "price_bucket > 0"))
 def price_entropy(spark, sf_dir):
-    return metrics.price_entropy(ubm_events(spark, sf_dir))
+    return metrics.price_entropy(client_events(spark, sf_dir))
 
 
 @query("price_shift", X + ", p as (select client_id, avg(price_bucket) filter (event_type = 'product_buy') as b, avg(price_bucket) filter (event_type = 'add_to_cart') as a from x group by 1) select client_id, round(100 * (b - a) / a, 6) as price_shift_percent from p where a > 0 and b is not null")
 def price_shift(spark, sf_dir):
-    return metrics.price_shift(ubm_events(spark, sf_dir))
+    return metrics.price_shift(client_events(spark, sf_dir))
 
 
 @query("cyclic_means", X + """select client_id, round(avg(sin(2 * pi() * hour(timestamp) / 24)), 6) as hour_sin, round(avg(cos(2 * pi() * hour(timestamp) / 24)), 6) as hour_cos,
   round(avg(sin(2 * pi() * (isodow(timestamp) - 1) / 7)), 6) as day_sin, round(avg(cos(2 * pi() * (isodow(timestamp) - 1) / 7)), 6) as day_cos from x group by 1""")
 def cyclic_means(spark, sf_dir):
-    return metrics.cyclic_means(ubm_events(spark, sf_dir))
+    return metrics.cyclic_means(client_events(spark, sf_dir))
 
 
 @query("favourites", X + """, a as (select client_id, sku, row_number() over (partition by client_id order by count(*) desc, sku) as r from x where sku is not null group by client_id, sku),
 b as (select client_id, category_id, row_number() over (partition by client_id order by count(*) desc, category_id) as r from x where category_id is not null group by client_id, category_id)
 select coalesce(a.client_id, b.client_id) as client_id, sku, category_id from (select * from a where r = 1) a full join (select * from b where r = 1) b on a.client_id = b.client_id""")
 def favourites(spark, sf_dir):
-    return metrics.favourites(ubm_events(spark, sf_dir))
+    return metrics.favourites(client_events(spark, sf_dir))
 
 
 @query("recency_rank", X + f""", p as (select client_id, {days(NOW, 'max(timestamp)')} as days, {days(NOW, "max(timestamp) filter (event_type = 'product_buy')")} as bd from x group by 1)
 select client_id, days, round((select count(*) filter (q.bd <= p.days) / count(q.bd) from p q), 6) as recency_rank from p""")
 def recency_rank(spark, sf_dir):
-    return metrics.recency_rank(ubm_events(spark, sf_dir))
+    return metrics.recency_rank(client_events(spark, sf_dir))
 
 
 # -- graphs -----------------------------------------------------------------------------
@@ -76,7 +76,7 @@ def _pagerank(rounds: int) -> str:
 
 @query("pagerank_category", X + CATEGORY_EDGES + _pagerank(10))
 def pagerank_category(spark, sf_dir):
-    return graph.pagerank(sequence.category_transitions(ubm_events(spark, sf_dir)))
+    return graph.pagerank(sequence.category_transitions(client_events(spark, sf_dir)))
 
 
 BASKETS = """with b as (select o_custkey as c, o_orderkey as o, l_partkey as sku from orders join lineitem on l_orderkey = o_orderkey), top as (select sku from b group by 1 order by count(*) desc, sku limit 200),
@@ -112,19 +112,19 @@ def _client_pagerank(rounds: int) -> str:
 
 @query("category_pagerank_client", X + CLIENT_EDGES + _client_pagerank(5))
 def category_pagerank_client(spark, sf_dir):
-    return graph.pagerank(sequence.client_category_transitions(ubm_events(spark, sf_dir)), rounds=5, keys=("client_id",))
+    return graph.pagerank(sequence.client_category_transitions(client_events(spark, sf_dir)), rounds=5, keys=("client_id",))
 
 
 @query("clustering_coefficient", X + CATEGORY_EDGES + """, u as (select distinct least(src, dst) as a, greatest(src, dst) as b from e), dg as (select node, count(*) as degree from (select a as node from u union all select b from u) group by 1),
 t as (select p.a as a, p.b as b, q.b as c from u p join u q on q.a = p.b join u r on r.a = p.a and r.b = q.b), tn as (select node, count(*) as t from (select a as node from t union all select b from t union all select c from t) group by 1)
 select dg.node, degree, coalesce(t, 0) as triangles, round(case when degree > 1 then coalesce(t, 0) / (degree * (degree - 1) / 2) else 0 end, 6) as clustering from dg left join tn on tn.node = dg.node""")
 def clustering_coefficient(spark, sf_dir):
-    return graph.clustering_coefficient(sequence.category_transitions(ubm_events(spark, sf_dir)))
+    return graph.clustering_coefficient(sequence.category_transitions(client_events(spark, sf_dir)))
 
 
 @query("random_walks")
 def random_walks(spark, sf_dir):
-    return graph.random_walks(sequence.category_transitions(ubm_events(spark, sf_dir)), per_node=2, steps=6).select("start", "walk", F.array_join("path", ",").alias("path"))
+    return graph.random_walks(sequence.category_transitions(client_events(spark, sf_dir)), per_node=2, steps=6).select("start", "walk", F.array_join("path", ",").alias("path"))
 
 
 # -- vectors ----------------------------------------------------------------------------
@@ -133,7 +133,7 @@ NAMED = X + ", n as (select client_id, embedding as v from x join embeddings on
 
 def _named(spark, sf_dir):
     v = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("sku"), F.col("embedding").alias("v"))
-    return ubm_events(spark, sf_dir).join(v, "sku").select("client_id", "v")
+    return client_events(spark, sf_dir).join(v, "sku").select("client_id", "v")
 
 
 @query("name_vector_mean", NAMED + """, u as (select client_id, unnest(v) as c, generate_subscripts(v, 1) - 1 as pos from n)
@@ -164,7 +164,7 @@ def centroid_similarity(spark, sf_dir):
 
 
 #: Published task scores of three encoders.
-SCORES = {"stella": [0.7029, 0.7639, 0.7362, 0.7123, 0.7215, 0.7751], "gemma1b": [0.7098, 0.7685, 0.7645, 0.7166, 0.7689, 0.7762], "qwen": [0.7098, 0.7640, 0.7553, 0.7107, 0.7242, 0.7700]}
+SCORES = {"encoder_a": [0.7029, 0.7639, 0.7362, 0.7123, 0.7215, 0.7751], "encoder_b": [0.7098, 0.7685, 0.7645, 0.7166, 0.7689, 0.7762], "encoder_c": [0.7098, 0.7640, 0.7553, 0.7107, 0.7242, 0.7700]}
 
 
 def _ensemble_sql() -> str:
@@ -207,8 +207,8 @@ def sku_clusters(spark, sf_dir):
 
 @query("cluster_shares", X + ", c as (select client_id, cast(sku % 7 as integer) as cluster, count(*) as n from x where sku is not null group by all), s as (select *, round(n / sum(n) over (partition by client_id), 6) as share from c) select *, cast(row_number() over (partition by client_id order by n desc, cluster) as integer) as rank from s qualify row_number() over (partition by client_id order by n desc, cluster) <= 3")
 def cluster_shares(spark, sf_dir):
-    clusters = ubm_events(spark, sf_dir).where("sku is not null").select("sku").distinct().withColumn("cluster", (F.col("sku") % 7).cast("int"))
-    return metrics.cluster_shares(ubm_events(spark, sf_dir), clusters)
+    clusters = client_events(spark, sf_dir).where("sku is not null").select("sku").distinct().withColumn("cluster", (F.col("sku") % 7).cast("int"))
+    return metrics.cluster_shares(client_events(spark, sf_dir), clusters)
 
 
 # -- texts --------------------------------------------------------------------------------
@@ -263,7 +263,7 @@ def portrait_clean(spark, sf_dir):
 
 def _profile_lines(spark, sf_dir):
     """A few extractors' results as lines of sections."""
-    e = ubm_events(spark, sf_dir)
+    e = client_events(spark, sf_dir)
     from profilis.operators import activity
 
     stage = activity.funnel_stage(e).select("client_id", F.lit("INTENT").alias("section"), F.lit(1).alias("pos"), F.concat(F.lit("Funnel Stage: "), "stage").alias("line"))
@@ -291,7 +291,7 @@ def rich_text(spark, sf_dir):
 def profile_json(spark, sf_dir):
     lines = _profile_lines(spark, sf_dir)
     features = lines.groupBy("client_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("section", "pos", "line"))), lambda x: x["line"]).alias("features"))
-    raw = sequence.raw_sequence_text(sequence.raw_sequence(ubm_events(spark, sf_dir), k=20))
+    raw = sequence.raw_sequence_text(sequence.raw_sequence(client_events(spark, sf_dir), k=20))
     return dataset.profile_json(tx.rich_text(lines).join(features, "client_id").join(raw, "client_id"))
 
 

@@ -70,7 +70,7 @@ def raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("event_id", F.col("user_id").alias("client_id"), F.col("ts").alias("timestamp"), kind[F.col("event_type")].alias("event_type"), F.get_json_object("props", "$.k").cast("bigint").alias("k"))
 
 
-def ubm_events(spark: SparkSession, sf_dir: str, profile: str = "rich") -> DataFrame:
+def client_events(spark: SparkSession, sf_dir: str, profile: str = "rich") -> DataFrame:
     """The canonical event table: client_id, timestamp, event_id, event_type, sku, query and
     product attributes. In profile ``strict`` page visits have no sku."""
     e = raw_events(spark, sf_dir)

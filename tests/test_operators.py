@@ -194,6 +194,6 @@ def test_streaming_sessions(spark, tmp_path):
 
 
 def test_filters_reach_the_scan(spark, capsys):
-    src.ubm_events(spark, "/root/testdata/sf0.001").where("client_id = 7").select("client_id", "event_type").explain("formatted")
+    src.client_events(spark, "/root/testdata/sf0.001").where("client_id = 7").select("client_id", "event_type").explain("formatted")
     plan = capsys.readouterr().out
     assert "EqualTo(user_id,7)" in plan and "value:double" not in plan
