@@ -146,7 +146,8 @@ def _one_pass(whole: DataFrame, asked: pa.Table, k: int) -> DataFrame:
     nodes = whole.rdd.getNumPartitions()
     while True:
         nodes = parts(nodes, FAN)
-        lists = lists.withColumn("node", F.expr(f"node div {FAN}")).groupBy("block", "node").applyInArrow(tree, LISTS)
+        above = F.expr(f"node div {FAN}") if nodes > 1 else F.lit(0).cast("bigint")
+        lists = lists.withColumn("node", above).groupBy("block", "node").applyInArrow(tree, LISTS)
         if nodes == 1:
             return lists.mapInArrow(rows, "query_id bigint, rank int, vec_id bigint, score bigint")
 
