@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from profilis.functions.text import SECTIONS, insert_before_end, is_failure
+from profilis.runtime import ship
 
 FALLBACK = "## OVERVIEW ##\nNo activity recorded.\n[END]"
 
@@ -106,6 +107,7 @@ def tokenized(rows: DataFrame, key: str, text: str, tokenizer: Callable[[list[st
 
     The limit is the context length of the consuming model, not of the table.
     """
+    ship(rows.sparkSession)
     kind = rows.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,6 +132,7 @@ def first_filled(*arrays: Column) -> Column:
 def encoded(rows: DataFrame, key: str, text: str, encoder: Callable[[list[str]], list[list[float]]], dim: int) -> DataFrame:
     """Vectors from a pluggable batch encoder; a batch that fails is tried row by row, and a
     row that fails gets a null vector and its error."""
+    ship(rows.sparkSession)
     kind = rows.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,6 +157,7 @@ def encoded(rows: DataFrame, key: str, text: str, encoder: Callable[[list[str]],
 
 def generated(rows: DataFrame, key: str, text: str, generator: Callable[[list[str]], list[str]]) -> DataFrame:
     """Portraits from a pluggable batch generator; failures become marked texts."""
+    ship(rows.sparkSession)
     kind = rows.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

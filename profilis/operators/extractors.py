@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -85,10 +86,11 @@ def _cyclic(events: DataFrame, conf: EngineConf) -> DataFrame:
 def wide_features(events: DataFrame, conf: EngineConf = CONF, names: list[str] | None = None) -> DataFrame:
     """One row per client with the columns of all extractors, each prefixed by its name.
 
-    Events are dealt by client once; every extractor groups and joins by client, so Spark
-    needs no further exchange of them.
+    Events are dealt by client once and kept (memory, then disk; lost blocks are made again),
+    since every extractor reads them; all group and join by client, so Spark needs no further
+    exchange of them.
     """
-    events = events.repartition("client_id")
+    events = events.repartition("client_id").persist(StorageLevel.MEMORY_AND_DISK)
     out = events.select("client_id").distinct()
     for name in names or EXTRACTORS:
         part = EXTRACTORS[name](events, conf)
