@@ -8,6 +8,8 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from profilis.runtime import ship
+
 #: Rows an Arrow batch may hold; with texts of 100 KB a batch stays near 50 MB.
 BATCH_ROWS = 512
 #: Bytes an Arrow batch may hold where Spark offers that limit.
@@ -15,7 +17,8 @@ BATCH_BYTES = 16 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches small enough for Python workers when texts are long."""
+    """Keep Arrow batches small enough for Python workers when texts are long; ship the package."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is not None:
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from profilis.llm.common import cut, parts, text_bytes
+from profilis.llm.common import cut, parts, small_batches, text_bytes
 
 BLOCK_BYTES = 7 << 20
 #: One training text in DELETED serves the weights.
@@ -176,6 +176,7 @@ class Model:
     """Counts of a corpus as answers to its blocks, with totals and weights."""
 
     def __init__(self, docs: DataFrame, trains: Column, id_col: str, text_col: str):
+        small_batches(docs.sparkSession)
         size = text_bytes(docs, text_col)
         blocks, deleted_blocks = parts(size, BLOCK_BYTES), parts(size // DELETED, BLOCK_BYTES)
         buckets = blocks

@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from profilis.llm.common import parts
+from profilis.runtime import ship
 
 QUERY_BYTES = 32 << 20
 QUERIES, SHARD, FAN = 1024, 4096, 16
@@ -80,7 +81,7 @@ LISTS = "block bigint, node bigint, scores binary, ids binary"
 
 def exact_top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: float = 256.0, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank (from 1), vec_id and score of each query's k best rows."""
-    spark = vectors.sparkSession
+    ship(vectors.sparkSession)
     whole = vectors.where(F.col(id_col).isNotNull() & _usable(vector_col)).select(
         F.col(id_col).cast("bigint").alias("id"), F.transform(vector_col, lambda x: F.floor(F.lit(scale) * x.cast("double"))).alias("v"), is_query.alias("q")
     )
