@@ -6,8 +6,8 @@ Labels are learned from a bounded sample of labelled rows (DICTIONARY_DOCS texts
 and CALIBRATION_DOCS texts, chosen by a hash of the id); every text is scored whole, in
 blocks of BLOCK bytes, so that a dictionary weighs the same anywhere in a long text.
 
-Defined results: null and empty texts have difference 0 and get the calibrated score of
-that; without labels of both classes the score is the share of good labels (0.5 without
+Defined results: null and empty texts have difference 0 and a mean compression, and get the
+calibrated score of that; without labels of both classes the score is the share of good labels (0.5 without
 any). A labelled id that occurs more than once counts once, with its smallest label and
 its smallest text.
 """
@@ -27,6 +27,8 @@ from profilis.llm.common import crc_mod, small_batches
 #: Labelled texts a class from which a dictionary is built, and texts for the calibration.
 DICTIONARY_DOCS, CALIBRATION_DOCS = 800, 3000
 DICTIONARY_BYTES, BLOCK, LEVEL = 1 << 16, 2048, 3
+#: Bytes at which a text counts as half short.
+SHORT = 200
 
 
 @dataclass(frozen=True)
@@ -35,12 +37,15 @@ class QualityModel:
 
     bad: bytes
     good: bytes
-    slope: float
+    weights: tuple[float, ...]
     offset: float
+    mean: float
 
-    def differences(self, texts: list[str | None]) -> list[float]:
+    def measures(self, texts: list[str | None]) -> np.ndarray:
+        """For each text the normalised difference, the log of its compression, and its bytes."""
+        out = np.tile([0.0, self.mean, 0.0], (len(texts), 1))
         if not self.bad or not self.good:
-            return [0.0] * len(texts)
+            return out
         import zstandard
 
         sides = []
@@ -49,17 +54,26 @@ class QualityModel:
             shared.precompute_compress(level=LEVEL)
             sides.append(zstandard.ZstdCompressor(level=LEVEL, dict_data=shared, write_content_size=False, write_dict_id=False))
         as_bad, as_good = (s.compress for s in sides)
-        out = []
-        for text in texts:
-            bad = good = 0
+        for i, text in enumerate(texts):
+            bad = good = size = 0
             for block in blocks(text):
                 bad += len(as_bad(block))
                 good += len(as_good(block))
-            out.append((bad - good) / (bad + good) if bad else 0.0)
+                size += len(block)
+            if size:
+                out[i] = (bad - good) / (bad + good), np.log((bad + good) / (2 * size)), size
         return out
 
-    def scores(self, differences: list[float]) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.slope * np.asarray(differences, dtype=float) + self.offset, -30, 30)))
+    def scores(self, texts: list[str | None]) -> np.ndarray:
+        logit = calibrated(self.measures(texts), self.mean) @ np.array(self.weights) + self.offset
+        return 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
+
+
+def calibrated(measures: np.ndarray, mean: float) -> np.ndarray:
+    """What the calibration weighs: both measures, and both again in so far as a text is short,
+    since a single shared line can fill a short text and then says little."""
+    both, short = measures[:, :2] - [0.0, mean], 1 / (1 + measures[:, 2:] / SHORT)
+    return np.concatenate([both, both * short, short], 1)
 
 
 def blocks(text: str | None) -> list[bytes]:
@@ -79,19 +93,19 @@ def build_dictionary(texts: list[str]) -> bytes:
         return b"".join(samples)[:DICTIONARY_BYTES]
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and offset by Newton steps, with a slight pull of the slope to 0."""
-    a, b = 0.0, float(np.log((y.sum() + 1) / (len(y) - y.sum() + 1)))
-    design = np.stack([x, np.ones(len(x))])
+def fit_logistic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
+    """Weights of the columns of x and an offset by Newton steps, with a slight pull of weights to 0."""
+    design = np.column_stack([x, np.ones(len(y))])
+    w = np.zeros(design.shape[1])
+    w[-1] = np.log((y.sum() + 1) / (len(y) - y.sum() + 1))
+    pull = np.append(np.full(design.shape[1] - 1, 1e-3), 1e-9)
     for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(a * x + b, -30, 30)))
-        gradient = design @ (y - p) - [1e-3 * a, 0]
-        hessian = (design * (p * (1 - p))) @ design.T + np.diag([1e-3, 1e-9])
-        step = np.linalg.solve(hessian, gradient)
-        a, b = a + step[0], b + step[1]
+        p = 1 / (1 + np.exp(-np.clip(design @ w, -30, 30)))
+        step = np.linalg.solve(design.T @ (design * (p * (1 - p))[:, None]) + np.diag(pull), design.T @ (y - p) - pull * w)
+        w = w + step
         if np.abs(step).max() < 1e-9:
             break
-    return float(a), float(b)
+    return w[:-1], float(w[-1])
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, learnable: Column | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> QualityModel:
@@ -110,16 +124,15 @@ def fit_quality(docs: DataFrame, labels: DataFrame, learnable: Column | None = N
     found = docs.select(id_col, text_col).join(F.broadcast(picked), id_col).groupBy(id_col, "label", "part").agg(F.min(text_col).alias(text_col))
     rows = sorted(found.collect(), key=lambda r: str(r[id_col]))
     texts = {k: [r[text_col] or "" for r in rows if r["part"] == 0 and r["label"] == k] for k in (0, 1)}
-    model = QualityModel(build_dictionary(texts[0]), build_dictionary(texts[1]), 0.0, 0.0)
+    model = QualityModel(build_dictionary(texts[0]), build_dictionary(texts[1]), (0.0,) * 5, 0.0, 0.0)
     held = [r for r in rows if r["part"] == 1] or rows
     y = np.array([r["label"] for r in held], dtype=float)
     if not len(y):
         return model
-    x = np.array(model.differences([r[text_col] for r in held]))
-    if not model.bad or not model.good:
-        x = np.zeros(len(y))
-    slope, offset = fit_logistic(x, y)
-    return QualityModel(model.bad, model.good, slope, offset)
+    x = model.measures([r[text_col] for r in held])
+    mean = float(x[:, 1].mean())
+    weights, offset = fit_logistic(calibrated(x, mean), y)
+    return QualityModel(model.bad, model.good, tuple(weights.tolist()), offset, mean)
 
 
 def score_quality(docs: DataFrame, model: QualityModel, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -134,7 +147,7 @@ def score_quality(docs: DataFrame, model: QualityModel, id_col: str = "doc_id",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            scores = model.scores(model.differences(batch.column(len(kept)).to_pylist()))
+            scores = model.scores(batch.column(len(kept)).to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[: len(kept)], pa.array(scores, pa.float64()), pa.array((scores >= 0.5).astype(np.int32), pa.int32())],
                 names=[*kept, "score", "predicted"],
@@ -154,6 +167,6 @@ def keep_good(docs: DataFrame, model: QualityModel, text_col: str = "text", thre
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array(model.scores(model.differences(batch.column(at).to_pylist())) >= threshold, pa.bool_()))
+            yield batch.filter(pa.array(model.scores(batch.column(at).to_pylist()) >= threshold, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -171,11 +171,11 @@ def train_secrets(findings: tuple[list[tuple[str, int, int]], np.ndarray] | None
                 w -= 0.01 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
     raw = SecretModel(weights[0], weights[1], weights[2], float(weights[3][0]), 1.0, 0.0, 0.5)
     logits = raw.logits(x[kept])
-    slope, shift = fit_logistic(logits, y[kept])
-    model = SecretModel(raw.kernel, raw.bias, raw.dense, raw.offset, slope, shift, 0.5)
+    (slope,), shift = fit_logistic(logits[:, None], y[kept])
+    model = SecretModel(raw.kernel, raw.bias, raw.dense, raw.offset, float(slope), shift, 0.5)
     positive = np.sort(model.scores(x[kept][y[kept] == 1]))
     at = positive[int((1 - RECALL) * len(positive))] if len(positive) else 0.5
-    return SecretModel(raw.kernel, raw.bias, raw.dense, raw.offset, slope, shift, float(min(max(at, 0.5), 0.98)))
+    return SecretModel(raw.kernel, raw.bias, raw.dense, raw.offset, float(slope), shift, float(min(max(at, 0.5), 0.98)))
 
 
 # -- scanning ------------------------------------------------------------------
