@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import functions as F
 
 from profilis.functions import text as tx
@@ -262,8 +263,8 @@ def portrait_clean(spark, sf_dir):
 
 
 def _profile_lines(spark, sf_dir):
-    """A few extractors' results as lines of sections."""
-    e = client_events(spark, sf_dir)
+    """A few extractors' results as lines of sections, over events dealt by client once."""
+    e = client_events(spark, sf_dir).repartition("client_id").persist(StorageLevel.MEMORY_AND_DISK)
     from profilis.operators import activity
 
     stage = activity.funnel_stage(e).select("client_id", F.lit("INTENT").alias("section"), F.lit(1).alias("pos"), F.concat(F.lit("Funnel Stage: "), "stage").alias("line"))
