@@ -37,7 +37,7 @@ HASHES = BANDS * ROWS
 #: Share of equal minima below which a pair can't be at 0.85: five standard deviations less.
 LOOSE = 0.16
 CHUNK = 256
-CACHE_TOKENS = 500_000
+CACHE_TOKENS = 200_000
 _RANDOM = np.random.default_rng(5)
 MULTIPLY = _RANDOM.integers(0, 1 << 31, HASHES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 ADD = _RANDOM.integers(0, 1 << 32, HASHES, dtype=np.uint32)

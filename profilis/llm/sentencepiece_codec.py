@@ -26,7 +26,7 @@ from profilis.llm.pieces import SPACE, Pieces, Segmenter, built, read_pieces
 
 LONG = 256
 #: Words whose results a worker keeps at most.
-CACHE_WORDS = 350_000
+CACHE_WORDS = 220_000
 NONE = np.int32(2**31 - 1)
 
 
