@@ -1,11 +1,12 @@
 """Secret scans: fixed patterns plus a character convolutional network in numpy.
 
-Every candidate (a base match or a long token with digits) is judged with its
-surrounding characters. The network is trained here on labelled findings: by default
-generated ones (random keys of common shapes in assignment-like or plain surroundings
-against identifiers, paths, numbers, words and placeholders), or findings handed in.
-Its logits are calibrated on findings kept apart and the threshold is the highest one
-that keeps RECALL of those.
+Every candidate (a base match or a long token with digits) is judged with its surrounding
+characters; a long one through overlapping windows, of which the highest score counts.
+The network is trained here on labelled findings: by default generated ones (random keys
+of common shapes in assignment-like or plain surroundings and inside long chains
+against identifiers, paths, numbers, words and placeholders), or findings
+handed in. Its logits are calibrated on findings kept apart and the threshold is the
+highest one, up to 0.98, that keeps RECALL of those.
 
 Base matches always stay. Defined results: null and empty texts have no findings;
 offsets are code points, ends exclusive; repeated rows are scanned alike.
@@ -47,15 +48,21 @@ FILTERS, SPAN = 32, 5
 
 # -- windows ------------------------------------------------------------------
 def window(text: str, start: int, end: int) -> np.ndarray:
-    """Class of each character around and inside a candidate; a long middle is left out."""
+    """Class of each character around and inside a stretch, of which at most BODY characters are seen."""
+    end = min(end, start + BODY)
     body = text[start:end]
-    if len(body) > BODY:
-        body = body[: BODY // 2] + body[-(BODY // 2) :]
     left, right = text[max(0, start - LEFT) : start], text[end : end + RIGHT]
     line = left.rjust(LEFT, "\0") + body.ljust(BODY, "\0") + right.ljust(RIGHT, "\0")
     return np.array([_CLASS.get(c, 1) for c in line], dtype=np.int64)
 
 
+def stretches(start: int, end: int) -> list[tuple[int, int]]:
+    """Stretches of at most BODY characters, half a BODY apart, that cover a candidate."""
+    if end - start <= BODY:
+        return [(start, end)]
+    return [(a, a + BODY) for a in [*range(start, end - BODY, BODY // 2), end - BODY]]
+
+
 _CLASS = {"\0": 0} | {c: i + 2 for i, c in enumerate(CLASSES)}
 N_CLASSES = len(CLASSES) + 2
 
@@ -76,8 +83,11 @@ class SecretModel:
         pooled, _ = _pool(windows, self.kernel, self.bias)
         return pooled @ self.dense + self.offset
 
+    def calibrated(self, logits: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(self.slope * logits + self.shift, -30, 30)))
+
     def scores(self, windows: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.slope * self.logits(windows) + self.shift, -30, 30)))
+        return self.calibrated(self.logits(windows))
 
 
 def _pool(windows: np.ndarray, kernel: np.ndarray, bias: np.ndarray) -> tuple[np.ndarray, tuple]:
@@ -140,29 +150,87 @@ def generated_findings(n: int, seed: int) -> tuple[list[tuple[str, int, int]], n
     return found, labels
 
 
+#: Parts of words; those before the last three are plain letters.
+SYLLABLES = (
+    "th en re on tion ver sch ou la er ing ba ko mi inter nation al iz con trol ler get set value of config auth ent ic ate re spons ibil ity data base de fault hand stream "
+    "buf fer micro elec tro mag net ver wal tung keit heit lich ung ge aus ein ment eux ais elle que os cion mente per sub trans form at str quer y ex ten sion ful ness ly ward "
+    "ship graph ph oto syn the sis psy cho log work flow test case file path name user in dex html js css vw zz 2 v1 x86"
+).split()
+
+
+def _word(rng: np.random.Generator) -> str:
+    """A word of known parts or of random syllables."""
+    n = int(rng.integers(1, 5))
+    if rng.random() < 0.75:
+        return "".join(SYLLABLES[i] for i in rng.integers(0, len(SYLLABLES) - 3, n)) + ("ció" if rng.random() < 0.03 else "")
+    return "".join("bcdfghjklmnprstvwz"[rng.integers(18)] + "aeiouy"[rng.integers(6)] + ("", "n", "r", "s", "t", "l")[rng.integers(6)] for _ in range(n))
+
+
+def long_findings(n: int, seed: int) -> tuple[list[tuple[str, int, int]], np.ndarray]:
+    """Like ``generated_findings``, of candidates longer than BODY; secrets stand anywhere in them."""
+    rng = np.random.default_rng(seed)
+    pick = lambda xs: xs[int(rng.integers(len(xs)))]
+    alnum = string.ascii_letters + string.digits
+    chars = lambda alphabet, a, b: "".join(rng.choice(list(alphabet), int(rng.integers(a, b + 1))))
+    found, labels = [], np.zeros(n)
+    for i in range(n):
+        labels[i] = secret = i % 2
+        join, size = pick("/._-="), int(rng.integers(BODY + 2, 5 * BODY))
+        steps: list[str] = []
+        while len(join.join(steps)) < size:
+            steps.append(pick([_word(rng), _word(rng) + _word(rng), _word(rng).capitalize(), str(rng.integers(10000)), SYLLABLES[-1 - int(rng.integers(8))], _word(rng) + "=" + _word(rng)]))
+        if secret:
+            key = pick(["", "", "ghp_", "sk_live_", "xoxb-", "key="]) + chars(pick([alnum, alnum, string.ascii_letters, alnum + "+_-"]), 20, 40)
+            steps.insert(int(rng.integers(len(steps) + 1)), key)
+        body = join.join(steps).replace("ó", "o")
+        odd = rng.random()
+        if odd < 0.15 and secret:
+            body = "eyJ" + ".".join(chars(alnum + "-_", 20, 80) for _ in range(3))
+        elif odd < 0.15:
+            body = pick(["-", "=", "_", ".", "/", "-=", "=-=", "0", "a", "+--", "0123456789"]) * (size // 2)
+        before, after = _word(rng) + pick([" ", ": ", "://", " (", "@"]), pick([" ", ") ", "@", "? "]) + _word(rng)
+        found.append((before + body + after, len(before), len(before) + len(body)))
+    return found, labels
+
+
 def train_secrets(findings: tuple[list[tuple[str, int, int]], np.ndarray] | None = None, seed: int = 11, epochs: int = 8) -> SecretModel:
-    """Adam on the logistic loss; a fifth of the findings is kept for calibration and threshold."""
-    rows, labels = findings or generated_findings(4000, seed)
+    """Adam on the logistic loss of each finding's highest window; a fifth of the findings is kept for calibration and threshold."""
+    if findings is None:
+        (short, a), (long, b) = generated_findings(5000, seed), long_findings(1800, seed + 1)
+        findings = short + long, np.concatenate([a, b])
+    rows, labels = findings
     rng = np.random.default_rng(seed)
-    x = np.stack([window(*r) for r in rows])
-    y = np.asarray(labels, dtype=float)
+    views = [stretches(a, b) for _, a, b in rows]
+    x = np.stack([window(text, a, b) for (text, _, _), parts in zip(rows, views, strict=True) for a, b in parts])
+    sizes = np.array([len(v) for v in views])
+    first = np.cumsum(sizes) - sizes
+    y = np.asarray(labels, dtype=np.float32)
     order = rng.permutation(len(y))
     kept, used = order[: len(y) // 5], order[len(y) // 5 :]
-    weights = [rng.normal(0, 0.05, (SPAN * N_CLASSES, FILTERS)), np.zeros(FILTERS), rng.normal(0, 0.1, 2 * FILTERS), np.zeros(1)]
+
+    def windows_of(some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rows of x of these findings, and where each finding begins among them."""
+        return np.concatenate([np.arange(first[f], first[f] + sizes[f]) for f in some]), np.cumsum(sizes[some]) - sizes[some]
+
+    weights = [w.astype(np.float32) for w in (rng.normal(0, 0.05, (SPAN * N_CLASSES, FILTERS)), np.zeros(FILTERS), rng.normal(0, 0.1, 2 * FILTERS), np.zeros(1))]
     moments = [[np.zeros_like(w), np.zeros_like(w)] for w in weights]
-    steps, t, one_hot = WIDTH - SPAN + 1, 0, np.eye(N_CLASSES)
+    steps, t, one_hot = WIDTH - SPAN + 1, 0, np.eye(N_CLASSES, dtype=np.float32)
     for _ in range(epochs):
         rng.shuffle(used)
         for batch in np.array_split(used, max(1, len(used) // 128)):
-            pooled, (active, top) = _pool(x[batch], weights[0], weights[1])
-            error = (1 / (1 + np.exp(-np.clip(pooled @ weights[2] + weights[3], -30, 30))) - y[batch]) / len(batch)
+            at, begin = windows_of(batch)
+            pooled, (active, top) = _pool(x[at], weights[0], weights[1])
+            each = pooled @ weights[2]
+            best = np.array([a + each[a : a + n].argmax() for a, n in zip(begin, sizes[batch], strict=True)])
+            pooled, active, top, seen = pooled[best], active[best], top[best], x[at[best]]
+            error = (1 / (1 + np.exp(-np.clip(pooled @ weights[2] + weights[3], -30, 30))) - y[batch]) / np.float32(len(batch))
             back = error[:, None] * weights[2][None]
-            grow = np.repeat(back[:, None, FILTERS:] / steps, steps, 1)
+            grow = np.repeat(back[:, None, FILTERS:] / np.float32(steps), steps, 1)
             i, j = np.meshgrid(np.arange(len(batch)), np.arange(FILTERS), indexing="ij")
             grow[i, top, j] += back[:, :FILTERS]
             grow *= active > 0
             flat = grow.reshape(-1, FILTERS)
-            kernel = np.concatenate([one_hot[x[batch][:, k : k + steps].ravel()].T @ flat for k in range(SPAN)])
+            kernel = np.concatenate([one_hot[seen[:, k : k + steps].ravel()].T @ flat for k in range(SPAN)])
             grads = [kernel, grow.sum((0, 1)), pooled.T @ error, np.array([error.sum()])]
             t += 1
             for w, g, (m, v) in zip(weights, grads, moments, strict=True):
@@ -170,10 +238,11 @@ def train_secrets(findings: tuple[list[tuple[str, int, int]], np.ndarray] | None
                 v += 0.001 * (g * g - v)
                 w -= 0.01 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
     raw = SecretModel(weights[0], weights[1], weights[2], float(weights[3][0]), 1.0, 0.0, 0.5)
-    logits = raw.logits(x[kept])
+    at, begin = windows_of(kept)
+    logits = np.maximum.reduceat(np.concatenate([raw.logits(x[at[i : i + 1024]]) for i in range(0, len(at), 1024)]), begin)
     (slope,), shift = fit_logistic(logits[:, None], y[kept])
     model = SecretModel(raw.kernel, raw.bias, raw.dense, raw.offset, float(slope), shift, 0.5)
-    positive = np.sort(model.scores(x[kept][y[kept] == 1]))
+    positive = np.sort(model.calibrated(logits[y[kept] == 1]))
     at = positive[int((1 - RECALL) * len(positive))] if len(positive) else 0.5
     return SecretModel(raw.kernel, raw.bias, raw.dense, raw.offset, float(slope), shift, float(min(max(at, 0.5), 0.98)))
 
@@ -218,10 +287,12 @@ class Scanner:
         out = []
         for text, base, extra in zip(texts, bases, more, strict=True):
             spans = [*base, *((a, 3, b) for a, b in extra)]
-            scores: list[float] = []
-            for i in range(0, len(spans), 1024):
-                scores += self.model.scores(np.stack([window(text, a, b) for a, _, b in spans[i : i + 1024]])).tolist()
-            kept = sorted((s, p) for s, p in zip(spans, scores, strict=True) if s[1] < 3 or p >= self.model.threshold)
+            scores = np.zeros(len(spans))
+            parts = [(k, a, b) for k, (start, _, end) in enumerate(spans) for a, b in stretches(start, end)]
+            for i in range(0, len(parts), 1024):
+                some = parts[i : i + 1024]
+                np.maximum.at(scores, [k for k, _, _ in some], self.model.scores(np.stack([window(text, a, b) for _, a, b in some])))
+            kept = sorted((s, p) for s, p in zip(spans, scores.tolist(), strict=True) if s[1] < 3 or p >= self.model.threshold)
             out.append((base, [s for s, _ in kept], [p for _, p in kept]))
         return out
 
@@ -235,13 +306,13 @@ def masked(text: str | None, spans: list[tuple[int, int, int]], mask: str) -> st
     if not spans:
         return text
     out, at = [], 0
-    stretches: list[list[int]] = []
+    joined: list[list[int]] = []
     for a, _, b in sorted(spans):
-        if stretches and a < stretches[-1][1]:
-            stretches[-1][1] = max(stretches[-1][1], b)
+        if joined and a < joined[-1][1]:
+            joined[-1][1] = max(joined[-1][1], b)
         else:
-            stretches.append([a, b])
-    for a, b in stretches:
+            joined.append([a, b])
+    for a, b in joined:
         out += [text[at:a], mask]
         at = b
     return "".join([*out, text[at:]])

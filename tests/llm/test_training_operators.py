@@ -403,3 +403,16 @@ def test_secrets_are_masked(spark):
     docs = docs_of(spark, ['see token = "0123456789abcdef0123456789abcdef" and é', None, "clean"])
     got = [r["text"] for r in secrets.mask_secrets(docs, secret_model()).orderBy("doc_id").collect()]
     assert got == ['see <secret>" and é', None, "clean"]
+
+
+def test_secrets_in_the_middle_of_long_candidates():
+    rows, labels = secrets.long_findings(600, 88)
+    planted = [r for r, y in zip(rows, labels, strict=True) if y and "@" not in r[0] and any(c.isdigit() for c in r[0][r[1] : r[2]])]
+    assert all(e - a > secrets.BODY for _, a, e in planted)
+    parts = secrets.stretches(3, 203)
+    assert parts[0][0] == 3 and parts[-1][1] == 203 and all(b - a == secrets.BODY for a, b in parts) and all(y[0] <= x[0] + secrets.BODY // 2 for x, y in zip(parts, parts[1:]))
+    scanner = secrets.Scanner(secret_model())
+    found = [any(a < e and s < b for a, _, b in spans) for (_, s, e), (_, spans, _) in zip(planted, scanner.scan([r[0] for r in planted]), strict=True)]
+    assert np.mean(found) >= 0.9
+    chain = "v1/callback/alpha/beta/gamma/users/settings/sk_live_q7Yt3Zb9LmNc4Vx8Rk2P/profile/pages/settings/index.html"
+    assert scanner.scan([chain])[0][1] == [(0, 3, len(chain))]
