@@ -1,10 +1,10 @@
 """Secret scans: fixed patterns plus a character convolutional network in numpy.
 
-Every candidate (a base match or a long token with digits) is judged with its surrounding
+Every candidate (a base match or a long token) is judged with its surrounding
 characters; a long one through overlapping windows, of which the highest score counts.
 The network is trained here on labelled findings: by default generated ones (random keys
-of common shapes in assignment-like or plain surroundings and inside long chains
-against identifiers, paths, numbers, words and placeholders), or findings
+of common shapes in assignment-like, URL-like or plain surroundings and inside long chains
+against identifiers, paths, numbers, words, mail addresses and placeholders), or findings
 handed in. Its logits are calibrated on findings kept apart and the threshold is the
 highest one, up to 0.98, that keeps RECALL of those.
 
@@ -36,8 +36,8 @@ LEAST_ASSIGN, LEAST_ACCESS = 6, 20
 KINDS = ("assign", "access", "hex", "network")
 #: Words one of which every assignment holds, as ASCII lower case.
 HINTS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
-#: What else the network may judge: long tokens with a digit and a letter, not parts of mail addresses.
-CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_.=@-])[A-Za-z0-9+/_.=-]{16,}(?![A-Za-z0-9+/_.=@-])")
+#: What else the network judges: all tokens of 16 characters or more.
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{16,}")
 
 LEFT, BODY, RIGHT = 20, 48, 8
 WIDTH = LEFT + BODY + RIGHT
@@ -107,9 +107,10 @@ def generated_findings(n: int, seed: int) -> tuple[list[tuple[str, int, int]], n
     rng = np.random.default_rng(seed)
     pick = lambda xs: xs[int(rng.integers(len(xs)))]
     chars = lambda alphabet, a, b: "".join(rng.choice(list(alphabet), int(rng.integers(a, b + 1))))
-    word = lambda: "".join(pick(["th", "en", "re", "on", "tion", "ver", "sch", "ou", "la", "er", "ing", "ció", "ba", "ko", "mi"]) for _ in range(int(rng.integers(1, 5))))
+    word = lambda: _word(rng)
     text = lambda k: " ".join(word() for _ in range(k))
     alnum = string.ascii_letters + string.digits
+    plain = lambda k: "".join(pick(SYLLABLES[:-3]) for _ in range(k))
     secrets = [
         lambda: chars("0123456789abcdef", 24, 64),
         lambda: chars(alnum, 20, 48),
@@ -118,6 +119,7 @@ def generated_findings(n: int, seed: int) -> tuple[list[tuple[str, int, int]], n
         lambda: pick(["ghp_", "sk_live_", "xoxb-", "pk_", "key-"]) + chars(alnum, 20, 36),
         lambda: chars(alnum + "-_", 14, 20) + "." + chars(alnum + "-_", 20, 30),
         lambda: chars(alnum + "+/_.-", 16, 32),
+        lambda: chars(string.ascii_letters, 18, 40),
     ]
     others = [
         lambda: "_".join(word() for _ in range(4)) + str(rng.integers(100)),
@@ -133,19 +135,33 @@ def generated_findings(n: int, seed: int) -> tuple[list[tuple[str, int, int]], n
         lambda: "+" + chars(string.digits, 2, 2) + "-" + chars(string.digits, 12, 14),
         lambda: "-".join(word() for _ in range(5)) + "-" + str(rng.integers(2030)),
         lambda: "www." + word() + word() + ".org/" + word() + "/" + str(rng.integers(9999)) + "/" + word(),
+        lambda: pick([str, str.capitalize, str.upper])(plain(int(rng.integers(6, 10)))) + pick(["", ".", "...", "-" + word()]),
+        lambda: "".join(plain(2).capitalize() for _ in range(int(rng.integers(3, 6)))),
+        lambda: pick(["_", "-", "/", "."]).join(plain(2) for _ in range(int(rng.integers(4, 7)))),
+        lambda: pick(["-", "=", "_", ".", "/", "+", "-=", "./", "=-", "+-", "--+"]) * int(rng.integers(16, 60)),
+        lambda: plain(3) + pick([".", "_", "-"]) + plain(3) + str(rng.integers(10)) * int(rng.integers(2)) + "@" + plain(3) + "-" + plain(2) + pick([".com", ".org", ".example.net", ".de"]),
     ]
     found, labels = [], np.zeros(n)
     for i in range(n):
         labels[i] = secret = i % 2
         body = pick(secrets)() if secret else pick(others)()
         before, after = text(6) + " ", " " + text(3)
-        if secret and rng.random() < 0.6:
+        if secret and rng.random() < 0.2:  # credentials in URLs
+            before += pick(["https", "http", "postgres", "mysql", "redis", "amqp", "ftp"]) + "://" + pick([word() + ":", ":", ""])
+            after = "@" + word() + pick([".com", ".org", ":5432", ""]) + "/" + word() + after
+        elif secret and rng.random() < 0.6:
             before += pick(["token = \"", "password: ", "secret=", "api_key = '", "Bearer ", "key: ", "export KEY="])
         elif rng.random() < 0.4:
             before += pick(["see ", "file ", "url: ", "id = ", "http://", "ref: ", "(", "| ", word() + "@", word() + "." + word() + "@", "mailto:" + word() + "@"])
+        if not secret and rng.random() < 0.05:  # the host after credentials
+            before += pick(["https://", "http://"]) + word() + ":" + chars(alnum, 16, 36) + "@"
+            body = (plain(2) + pick([".com/", ".org/", ".de/"]) + pick([word(), "x"]) + "/" + plain(3))[:16] + pick([".git", "", ".html"])
         if not secret and "@" in body:  # the scanner's candidates don't reach across it
-            head, _, body = body.partition("@")
-            before += head + "@"
+            head, _, tail = body.partition("@")
+            if len(head) >= 16 and rng.random() < 0.5:
+                body, after = head, "@" + tail + after
+            else:
+                body, before = tail, before + head + "@"
         found.append((before + body + after, len(before), len(before) + len(body)))
     return found, labels
 
@@ -244,7 +260,7 @@ def train_secrets(findings: tuple[list[tuple[str, int, int]], np.ndarray] | None
     model = SecretModel(raw.kernel, raw.bias, raw.dense, raw.offset, float(slope), shift, 0.5)
     positive = np.sort(model.calibrated(logits[y[kept] == 1]))
     at = positive[int((1 - RECALL) * len(positive))] if len(positive) else 0.5
-    return SecretModel(raw.kernel, raw.bias, raw.dense, raw.offset, float(slope), shift, float(min(max(at, 0.5), 0.98)))
+    return SecretModel(raw.kernel, raw.bias, raw.dense, raw.offset, float(slope), shift, float(min(at, 0.98)))
 
 
 # -- scanning ------------------------------------------------------------------
@@ -261,17 +277,14 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
-    """Long tokens with a digit and a letter that no base match overlaps."""
+    """Long tokens that don't lie inside a base match."""
     out, at = [], 0
-    reach = 0  # the furthest end of base matches that start before a token's end
+    reach = 0  # the furthest end of base matches that start no later than a token
     for m in CANDIDATE.finditer(text):
-        token = m[0]
-        if not any(c in token for c in string.digits) or not any(c.isalpha() for c in token):
-            continue
-        while at < len(base) and base[at][0] < m.end():
+        while at < len(base) and base[at][0] <= m.start():
             reach = max(reach, base[at][2])
             at += 1
-        if reach <= m.start():
+        if reach < m.end():
             out.append((m.start(), m.end()))
     return out
 
