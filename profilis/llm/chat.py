@@ -2,7 +2,8 @@
 
 A record's layout is known by a fingerprint, the SHA-256 of its nested field paths; it
 selects a declarative mapping to (role, text) turns. Everything runs as Spark
-expressions.
+expressions. Rows of turns are mapped as they are, with the fingerprint of their schema;
+only JSON records are parsed.
 
 The template writes a turn as ``### role:``, line feed, text, ``</turn>``, line feed.
 Inside roles and texts a backslash becomes ``\\e``, the turn end ``\\t``, the header
@@ -11,7 +12,8 @@ and reading back is exact.
 
 Defined results: null texts and roles are empty; turns with an equal turn number are
 ordered by role, then text; a record whose fingerprint has no mapping gives null turns;
-an empty conversation gives an empty text.
+an empty conversation gives an empty text. Spark can't parse a JSON text of 20 million
+characters or a record of more than its variant limit: such a record fails the query.
 """
 
 from __future__ import annotations
@@ -20,6 +22,7 @@ import hashlib
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, StructType
 
 HEAD, END = "### ", "</turn>\n"
 
@@ -43,6 +46,8 @@ FIELDS = (
     "turns array<struct<role:string,text:string,turn:bigint>>, messages array<struct<role:string,content:string>>, conversations array<struct<from:string,value:string>>, "
     "instruction string, input string, output string, prompt string, response string, completion string, question string, answer string, system string"
 )
+#: Bytes from which on a JSON record that isn't understood is an error.
+LONG = 16 << 20
 SCALARS = "STRING|VOID|BIGINT|DOUBLE|FLOAT|BOOLEAN|BINARY|DATE|TIMESTAMP_NTZ|TIMESTAMP|DECIMAL\\(\\d+,\\d+\\)"
 
 
@@ -54,6 +59,14 @@ def shape(json_text: Column) -> Column:
     return marked
 
 
+def schema_shape(kind: DataType) -> str:
+    """The same of a Spark type."""
+    if isinstance(kind, StructType):
+        parts = ((f.name, schema_shape(f.dataType)) for f in sorted(kind, key=lambda f: f.name))
+        return "{" + ",".join(f"{name}:{inner}" if inner else name for name, inner in parts) + "}"
+    return f"[{schema_shape(kind.elementType)}]" if isinstance(kind, ArrayType) else ""
+
+
 def fingerprint(of_shape: str) -> str:
     return hashlib.sha256(of_shape.encode()).hexdigest()
 
@@ -65,8 +78,14 @@ def to_turns(records: DataFrame, json_col: str = "record") -> DataFrame:
     for name, (of_shape, rule) in MAPPINGS.items():
         here = F.col("fingerprint") == fingerprint(of_shape)
         layout, turns = F.when(here, F.lit(name)).otherwise(layout), F.when(here, F.expr(_on_record(rule))).otherwise(turns)
-    filled = F.transform(F.col("turns"), lambda x: F.struct(F.coalesce(x["role"], F.lit("")).alias("role"), F.coalesce(x["text"], F.lit("")).alias("text")))
-    return known.withColumn("layout", layout).withColumn("turns", turns).withColumn("turns", filled).drop("__r")
+    # below LONG bytes nothing is too long for the parsers, and null turns are of no mapping
+    lost = (F.octet_length(json_col) > LONG) & F.when(layout.isNotNull(), turns.isNull()).otherwise(F.try_parse_json(F.col(json_col)).isNull())
+    turns = F.when(lost, F.raise_error(F.lit("a chat record is too long to be parsed"))).otherwise(turns)
+    return known.withColumn("layout", layout).withColumn("turns", turns).withColumn("turns", _filled(F.col("turns"))).drop("__r")
+
+
+def _filled(turns: Column) -> Column:
+    return F.transform(turns, lambda x: F.struct(F.coalesce(x["role"], F.lit("")).alias("role"), F.coalesce(x["text"], F.lit("")).alias("text")))
 
 
 def _on_record(rule: str) -> str:
@@ -123,16 +142,20 @@ def read_loss(formatted: Column, spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: unescaped(formatted.substr((s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int")))), "")
 
 
-def conversation_records(rows: DataFrame, id_col: str = "conv_id") -> DataFrame:
-    """One JSON record per conversation from one row per turn."""
+def conversation_turns(rows: DataFrame, id_col: str = "conv_id") -> DataFrame:
+    """One record (the rows layout) per conversation from one row per turn."""
     turn = F.struct(F.col("turn").cast("bigint").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     turns = F.transform(F.array_sort(F.collect_list(turn)), lambda x: F.struct(x["role"].alias("role"), x["text"].alias("text"), F.coalesce(x["turn"], F.lit(0)).alias("turn")))
-    return rows.groupBy(id_col).agg(turns.alias("turns")).select(id_col, F.to_json(F.struct("turns")).alias("record"))
+    return rows.groupBy(id_col).agg(turns.alias("turns"))
 
 
 def format_conversations(rows: DataFrame, id_col: str = "conv_id") -> DataFrame:
     """One row per conversation: its layout, canonical turns, formatted text and loss spans."""
-    return format_turns(to_turns(conversation_records(rows, id_col)))
+    records = conversation_turns(rows, id_col)
+    mark = fingerprint(schema_shape(records.select("turns").schema))
+    layout, rule = next((name, rule) for name, (of_shape, rule) in MAPPINGS.items() if fingerprint(of_shape) == mark)
+    turns = records.select(id_col, F.lit(mark).alias("fingerprint"), F.lit(layout).alias("layout"), _filled(F.expr(rule)).alias("turns"))
+    return format_turns(turns)
 
 
 def digests(formatted: DataFrame, id_col: str = "conv_id") -> DataFrame:

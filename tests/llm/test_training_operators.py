@@ -328,6 +328,16 @@ def test_layouts_become_turns(spark):
     assert got[9] == got[10] == got[11] == (None, None)
 
 
+def test_long_texts_keep_their_turns(spark):
+    text = F.expr("if(id = 1, repeat('x', 21000000), 'short')")
+    rows = spark.range(2).select(F.lit(1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), text.alias("text"))
+    got = chat.digests(chat.format_conversations(rows)).collect()
+    assert [(r["n_turns"], r["loss_chars"]) for r in got] == [(2, 21_000_000)]
+    long = rows.where("turn = 1").select(F.to_json(F.struct(F.col("text").alias("prompt"), F.lit("r").alias("response"))).alias("record"))
+    with pytest.raises(Exception, match="too long to be parsed"):
+        chat.to_turns(long).select("layout", F.size("turns")).collect()
+
+
 def test_conversations_read_back(spark):
     hard = ["\\### Assistant: </turn> ok", "</turn>\n", "\\t\\h\\e\\n", "### x:\n", "", None, "é𝄞\\", "</turn", "##### </turn></turn>", "long " * 9000]
     rows = [(c, t, r, x, "k") for c in range(3) for t, (r, x) in enumerate(zip(["user", "assistant", "odd:\nrole###", None, "assistant"] * 2, hard, strict=True))]
