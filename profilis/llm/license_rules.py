@@ -67,10 +67,12 @@ LICENCES: list[tuple[str, str, str]] = [
     ("unlicense", "unlicense", "(?:the )?unlicense"),
     ("wtfpl", "wtfpl", "wtfpl"),
     ("zlib", "zlib", "zlib(?: libpng)?"),
-    ("boost-1", "boost", "boost software license(?: v(?:ersion )?1(?: 0)?)?|bsl 1 0"),
+    ("boost-1", "boost", "boost software license(?: v(?:ersion )?1(?: 0)?)?"),
+    ("boost-1", "bsl 1 0", "bsl 1 0"),
     ("artistic-2", "artistic", "artistic license(?: v(?:ersion )?)? ?2(?: 0)?"),
     ("artistic-1", "artistic", "artistic license(?: v(?:ersion )?)? ?1(?: 0)?"),
-    ("python-2", "python", "python(?: software foundation)? license(?: v(?:ersion )?2)?|psf license"),
+    ("python-2", "python", "python(?: software foundation)? license(?: v(?:ersion )?2)?"),
+    ("python-2", "psf license", "psf license"),
     ("postgresql", "postgresql", "postgresql"),
     ("openssl", "openssl", "openssl"),
     ("ofl-1.1", "open font", "sil open font license(?: v(?:ersion )?1 1)?"),
@@ -78,13 +80,15 @@ LICENCES: list[tuple[str, str, str]] = [
     ("odc-by-1", "open data commons", "open data commons attribution(?: license)?"),
     ("pddl-1", "open data commons", "open data commons public domain dedication"),
     ("gfdl-1.3", "free documentation", "gnu free documentation license(?: v(?:ersion )?1 3)?"),
-    ("ms-pl", "microsoft", "microsoft public license|ms pl"),
-    ("ms-rl", "microsoft", "microsoft reciprocal license|ms rl"),
+    ("ms-pl", "microsoft", "microsoft public license"),
+    ("ms-pl", "ms pl", "ms pl"),
+    ("ms-rl", "microsoft", "microsoft reciprocal license"),
+    ("ms-rl", "ms rl", "ms rl"),
     ("busl-1.1", "business source", "business source license(?: 1 1)?"),
     ("sspl-1", "server side", "server side public license(?: v(?:ersion )?1)?"),
     ("elastic-2", "elastic", "elastic license(?: v(?:ersion )?2(?: 0)?)?"),
     ("polyform-nc", "polyform", "polyform noncommercial(?: license)?"),
-    ("openrail", "openrail", "(?:bigscience |creativeml )?open ?rail(?: m)?"),
+    ("openrail", "rail", "(?:bigscience |creativeml )?open ?rail(?: m)?"),
     ("afl-3", "academic free", "academic free license(?: v(?:ersion )?3(?: 0)?)?"),
     ("osl-3", "open software", "open software license(?: v(?:ersion )?3(?: 0)?)?"),
     ("ncsa", "ncsa", "(?:university of illinois )?ncsa(?: open source)?"),
@@ -114,7 +118,7 @@ GRANT = (
 TITLE = (2, 0.9, "(?:the )?(?:{name}) (?:public )?licen[cs]e(?: v(?:ersion)? ?[0-9]+)?(?= )")
 MENTION = (3, 0.6, "(?:{name})(?= )")
 #: Names that are ordinary words or short marks say nothing by a mere mention.
-WORDLIKE = {"mit", "expat", "isc", "bsd", "zlib", "postgresql", "openssl", "vim", "ruby", "php", "x11", "curl", "python", "w3c", "apache", "elastic", "boost", "ncsa", "public domain"}
+WORDLIKE = {"mit", "expat", "isc", "bsd", "zlib", "postgresql", "openssl", "vim", "ruby", "php", "x11", "curl", "python", "w3c", "apache", "elastic", "boost", "bsl 1 0", "psf license", "ncsa", "public domain"}
 
 
 @dataclass(frozen=True)
@@ -135,7 +139,7 @@ BODIES: list[tuple[str, str, str]] = [
     ("gpl", "gnu org", "(?:www )?gnu org licenses gpl"),
     ("lgpl", "gnu org", "(?:www )?gnu org licenses lgpl"),
     ("agpl-3", "gnu org", "(?:www )?gnu org licenses agpl"),
-    ("gpl", "free software foundation", "this program is free software you can redistribute it and or modify it"),
+    ("gpl", "this program is free software", "this program is free software you can redistribute it and or modify it"),
     ("mpl-2", "mozilla org", "mozilla org mpl 2 0"),
     ("unlicense", "unencumbered", "this is free and unencumbered software released into the public domain"),
     ("zlib", "altered source", "altered source versions must be plainly marked as such"),

@@ -29,7 +29,7 @@ GATES = (
     "creative", "copyleft", "eupl", "cddl", "cc0", "beerware", "rail", "boost", "microsoft", "commons", "polyform", "mozilla", "apache",
 )
 #: Or one of these marks, for which a literal search alone would let too many texts in.
-SHORT = r"(?i)(?<![0-9A-Za-z])(?:cc[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+by|mpl)(?![A-Za-z])"
+SHORT = r"(?i)(?<![0-9A-Za-z])(?:cc[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+by|ms[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+[pr]l|mplv?(?:ersion)?)(?![A-Za-z])"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -39,7 +39,7 @@ def _gate(text: Column) -> Column:
     sure = F.lit(False)
     for g in GATES:
         sure |= F.contains(low, F.lit(g))
-    return sure | ((F.contains(low, F.lit("cc")) | F.contains(low, F.lit("mpl"))) & text.rlike(SHORT))
+    return sure | ((F.contains(low, F.lit("cc")) | F.contains(low, F.lit("mpl")) | F.contains(low, F.lit("ms"))) & text.rlike(SHORT))
 
 
 def _spaces(c: Column) -> Column:

@@ -169,6 +169,50 @@ def test_licenses_base_places(spark):
     assert licenses.scan_licenses(docs_of(spark, ["x"]).limit(0)).count() == 0
 
 
+def expansions(regex, n, rng):
+    """Texts that a rule's regex stands for, by random choices at each fork."""
+    from re import _constants as c
+    from re import _parser
+
+    def walk(items):
+        out = ""
+        for op, arg in items:
+            if op is c.LITERAL:
+                out += chr(arg)
+            elif op is c.IN:
+                kind, what = rng.choice(arg)
+                out += chr(what if kind is c.LITERAL else rng.randint(*what))
+            elif op is c.BRANCH:
+                out += walk(rng.choice(arg[1]))
+            elif op is c.SUBPATTERN:
+                out += walk(arg[3])
+            elif op is c.MAX_REPEAT:
+                out += "".join(walk(arg[2]) for _ in range(rng.randint(arg[0], min(arg[1], arg[0] + 1))))
+            else:
+                assert op in (c.ASSERT, c.ASSERT_NOT)
+        return out
+
+    parsed = _parser.parse(regex)
+    found = {" ".join(walk(parsed).split()) for _ in range(n)}
+    return sorted(t for t in found if (m := re.search(regex, f" {t} ")) and m[0].strip() == t)
+
+
+def test_every_alternative_of_every_rule_fires(spark):
+    rng = random.Random(3)
+    texts = {}
+    for r in licenses.rules():
+        mine = expansions(r.regex, 30, rng)
+        assert mine, r.regex
+        for t in mine:
+            assert r.keyword in f" {t} ", (r.keyword, t)
+            texts[t] = r
+    names = {"SPDX-License-Identifier: BSL-1.0": "boost-1", "MS-PL": "ms-pl", "ms/rl": "ms-rl", "licensed under PSF License": "python-2", "Open RAIL-M": "openrail"}
+    cases = [*texts, *names]
+    got = {r["doc_id"]: r["labels"].split(",") for r in licenses.scan_licenses(docs_of(spark, cases)).select("doc_id", "labels").collect()}
+    assert [t for i, t in enumerate(cases) if got[i] == [""]] == []
+    assert all(label in got[cases.index(t)] for t, label in names.items())
+
+
 def test_contained_detections_are_suppressed(spark):
     m = "array(named_struct('rule',{0},'label','{1}','priority',{2},'confidence',0.5D,'first',{3},'end',{4}), named_struct('rule',9,'label','b','priority',1,'confidence',0.5D,'first',2,'end',5))"
     cases = {(1, "a", 1, 0, 9): ["a"], (1, "a", 2, 0, 9): ["a", "b"], (1, "a", 1, 2, 5): ["a"], (1, "a", 0, 3, 5): ["b", "a"], (1, "a", 3, 3, 5): ["b"], (1, "a", 1, 4, 7): ["b", "a"]}
