@@ -64,10 +64,10 @@ def url_sku_edges(spark, sf_dir):
 def url_vectors(spark, sf_dir):
     edges = extractors.url_sku_edges(_with_urls(spark, sf_dir), 86400)
     both = edges.unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w"))
-    return graph.walk_vectors(graph.random_walks(both, per_node=2, steps=5), 8)
+    return graph.walk_vectors(graph.random_walks(both))
 
 
 @query("raw_sequence_fill")
 def raw_sequence_fill(spark, sf_dir):
     texts = rich_text(spark, sf_dir).withColumnRenamed("rich_text", "text")
-    return extractors.with_raw_sequences(texts, extractors.sequences_of(client_events(spark, sf_dir), k=20))
+    return extractors.with_raw_sequences(texts, extractors.sequences_of(client_events(spark, sf_dir)))

@@ -125,7 +125,7 @@ def clustering_coefficient(spark, sf_dir):
 
 @query("random_walks")
 def random_walks(spark, sf_dir):
-    return graph.random_walks(sequence.category_transitions(client_events(spark, sf_dir)), per_node=2, steps=6).select("start", "walk", F.array_join("path", ",").alias("path"))
+    return graph.random_walks(sequence.category_transitions(client_events(spark, sf_dir))).select("start", "walk", F.array_join("path", ",").alias("path"))
 
 
 # -- vectors ----------------------------------------------------------------------------
@@ -203,7 +203,7 @@ def infonce_metrics(spark, sf_dir):
 
 @query("sku_clusters")
 def sku_clusters(spark, sf_dir):
-    return vectors.clusters(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), "vec_id", "embedding", k=20)
+    return vectors.clusters(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), "vec_id", "embedding")
 
 
 @query("cluster_shares", X + ", c as (select client_id, cast(sku % 7 as integer) as cluster, count(*) as n from x where sku is not null group by all), s as (select *, round(n / sum(n) over (partition by client_id), 6) as share from c) select *, cast(row_number() over (partition by client_id order by n desc, cluster) as integer) as rank from s qualify row_number() over (partition by client_id order by n desc, cluster) <= 3")
@@ -292,7 +292,7 @@ def rich_text(spark, sf_dir):
 def profile_json(spark, sf_dir):
     lines = _profile_lines(spark, sf_dir)
     features = lines.groupBy("client_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("section", "pos", "line"))), lambda x: x["line"]).alias("features"))
-    raw = sequence.raw_sequence_text(sequence.raw_sequence(client_events(spark, sf_dir), k=20))
+    raw = sequence.raw_sequence_text(sequence.raw_sequence(client_events(spark, sf_dir)))
     return dataset.profile_json(tx.rich_text(lines).join(features, "client_id").join(raw, "client_id"))
 
 

@@ -50,3 +50,11 @@ def test_entry(spark):
 
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_queries_run_with_the_operators_own_sizes(spark):
+    walks = catalogue.QUERIES["random_walks"](spark, DATA).collect()
+    starts = {w["start"] for w in walks}
+    assert len(walks) == 10 * len(starts) and max(w["path"].count(",") for w in walks) >= 9
+    clusters = catalogue.QUERIES["sku_clusters"](spark, DATA)
+    assert clusters.select([c for c in clusters.columns if "cluster" in c][0]).distinct().count() > 20
