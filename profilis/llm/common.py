@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import math
 import tempfile
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from profilis.runtime import ship
 
@@ -17,7 +20,11 @@ BATCH_BYTES = 16 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches small enough for Python workers when texts are long; ship the package."""
+    """Keep Arrow batches small enough for Python workers when texts are long; ship the package.
+
+    Both limits are settings of the session, as Spark offers no other place for them; every
+    operator with Python workers asks for the same, so none depends on which ran before.
+    """
     ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is not None:
@@ -27,13 +34,16 @@ def small_batches(spark: SparkSession) -> None:
 def cut(df: DataFrame) -> DataFrame:
     """Cut lineage by a reliable checkpoint in the cluster's shared folder.
 
-    The folder is the session's ``spark.checkpoint.dir``; only where it is unset
-    (tests, local mode) a temporary one is made.
+    The folder is the session's ``spark.checkpoint.dir``; where it is unset a temporary one
+    is made in local mode (tests), and anything else is an error: a folder of one machine
+    would be lost with it.
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        where = context.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="profilis-")
-        context.setCheckpointDir(where)
+        where = context.getConf().get("spark.checkpoint.dir", None)
+        if not where and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(where or tempfile.mkdtemp(prefix="profilis-"))
     return df.checkpoint(eager=True)
 
 
@@ -55,6 +65,34 @@ def parts(total: int, each: int) -> int:
     return max(1, math.ceil(total / each))
 
 
+def arrow_kind(df: DataFrame, column: str) -> pa.DataType:
+    return to_arrow_type(df.schema[column].dataType)
+
+
+#: Results a fold gathers before it stores them away.
+FOLD = 64
+
+
+def scanned(array: Column, state: Column, out_type: str, step: Callable[[Column, Column], tuple[Column, Column]]) -> Column:
+    """Running fold: step(state, x) gives the next state and a result; all results that aren't null.
+
+    An array that grew by one entry at a time would be copied as often as it has entries, so
+    results are gathered by FOLD and the full lots stored away: near linear in the entries.
+    """
+    none = F.expr(f"cast(array() as array<{out_type}>)")
+    lots = F.expr(f"cast(array() as array<array<{out_type}>>)")
+    start = F.struct(state.alias("state"), none.alias("now"), lots.alias("lots"))
+
+    def one(acc: Column, x: Column) -> Column:
+        after, result = step(acc["state"], x)
+        full = F.size(acc["now"]) >= FOLD
+        now = F.when(full, none).otherwise(acc["now"])
+        now = F.when(result.isNotNull(), F.concat(now, F.array(result))).otherwise(now)
+        return F.struct(after.alias("state"), now.alias("now"), F.when(full, F.concat(acc["lots"], F.array(acc["now"]))).otherwise(acc["lots"]).alias("lots"))
+
+    return F.aggregate(array, start, one, lambda acc: F.concat(F.flatten(acc["lots"]), acc["now"]))
+
+
 #: Ids that may be broadcast: about 16 MB on a worker. Beyond it rows are shuffled.
 BROADCAST_IDS = 1 << 20
 

@@ -1,7 +1,7 @@
 """Near-duplicate documents: MinHash banding, verified links, connected components.
 
 A document's set is its distinct five-word shingles as 64-bit hashes. Documents with
-equal sets form a class, of which one speaks. HASHES universal hash minima make the
+equal sets form a class, of which one speaks. Many universal hash minima make the
 signature; classes that agree in a whole band of it share a bucket.
 
 Links are found in two steps, so that a bucket of m classes never gives m * m rows:
@@ -11,47 +11,80 @@ Links are found in two steps, so that a bucket of m classes never gives m * m ro
    compare all pairs of different components (signatures, then full sets) and give out a
    spanning forest only. Every pair of a bucket meets in some tile, so no link is lost.
 
-With BANDS of ROWS minima a pair at the threshold shares no bucket with a chance of about
-4e-7; a signature rejects a true link with about the same chance.
+The number of bands follows the threshold, so that a pair exactly at it shares no bucket
+with a chance of MISS at most (25 bands of ROWS minima at 0.85, 37 at 0.80); a signature
+rejects a true link with about the same chance.
 
 Defined results: documents without words have empty sets, are linked with nothing and
 stay; with fewer than five words the whole sequence is the only shingle; rows of one id
-are one document; rows with a null id have a null component and aren't kept.
+are one document; rows with a null id keep their n_shingles, have a null component and
+aren't kept; repeated rows come out once each; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from profilis.llm.common import by_ids, cut, small_batches
+from profilis.llm.common import arrow_kind, by_ids, cut, small_batches
 from profilis.llm.components import connected_components
 
 SHINGLE = 5
-BANDS, ROWS = 25, 5
-HASHES = BANDS * ROWS
-#: Share of equal minima below which a pair can't be at 0.85: five standard deviations less.
+ROWS = 5
+#: Chance that a pair exactly at the threshold shares no bucket.
+MISS = 5e-7
+#: Share of equal minima by which a pair may stay below the threshold: five standard deviations.
 LOOSE = 0.16
 CHUNK = 256
-CACHE_TOKENS = 200_000
-_RANDOM = np.random.default_rng(5)
-MULTIPLY = _RANDOM.integers(0, 1 << 31, HASHES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
-ADD = _RANDOM.integers(0, 1 << 32, HASHES, dtype=np.uint32)
-PLACE = _RANDOM.integers(0, 1 << 63, SHINGLE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: Bytes that a worker's kept token hashes may take, about.
+CACHE_BYTES = 24 << 20
+#: Words that are hashed at a time.
+STEP = 100_000
+PLACE = np.random.default_rng(6).integers(0, 1 << 63, SHINGLE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def bands_for(percent: int) -> int:
+    """Bands with which a pair at the threshold is missed with a chance of MISS at most."""
+    same = min(percent / 100, 1 - 1e-9) ** ROWS
+    return max(1, math.ceil(math.log(MISS) / math.log1p(-same)))
+
+
+@cache
+def family(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Factors and addends of n universal hash functions."""
+    random = np.random.default_rng(5)
+    return random.integers(0, 1 << 31, n, dtype=np.uint32) * np.uint32(2) + np.uint32(1), random.integers(0, 1 << 32, n, dtype=np.uint32)
 
 
 # -- sets and signatures -------------------------------------------------------------
 class _Tokens(dict):
+    """Hashes of words; emptied once its words and numbers take more than CACHE_BYTES."""
+
+    held = 0
+
     def __missing__(self, token: bytes) -> int:
         import xxhash
 
         value = self[token] = xxhash.xxh3_64_intdigest(token)
+        self.held += 200 + len(token)
         return value
 
+    def of(self, words: list[bytes]) -> np.ndarray:
+        out = np.empty(len(words), dtype=np.uint64)
+        for i in range(0, len(words), STEP):
+            if self.held > CACHE_BYTES:
+                self.clear()
+                self.held = 0
+            some = words[i : i + STEP]
+            out[i : i + STEP] = np.fromiter(map(self.__getitem__, some), dtype=np.uint64, count=len(some))
+        return out
+
 
 _TOKENS = _Tokens()
 
@@ -66,9 +99,7 @@ def shingles(text: str | None) -> np.ndarray:
     words = (text or "").encode().lower().split()
     if not words:
         return np.zeros(0, dtype=np.uint64)
-    if len(_TOKENS) > CACHE_TOKENS:
-        _TOKENS.clear()
-    hashes = np.fromiter(map(_TOKENS.__getitem__, words), dtype=np.uint64, count=len(words))
+    hashes = _TOKENS.of(words)
     n = min(SHINGLE, len(words))
     out = np.full(len(words) - n + 1, n, dtype=np.uint64)
     for i in range(n):
@@ -76,46 +107,59 @@ def shingles(text: str | None) -> np.ndarray:
     return np.unique(_mix(out))
 
 
-def signature(found: np.ndarray) -> np.ndarray:
-    """HASHES minima of a non-empty set."""
+def signature(found: np.ndarray, hashes: int) -> np.ndarray:
+    """The minima of a non-empty set."""
+    multiply, add = family(hashes)
     low = (found >> np.uint64(32)).astype(np.uint32)
-    least = np.full(HASHES, 0xFFFFFFFF, dtype=np.uint32)
+    least = np.full(hashes, 0xFFFFFFFF, dtype=np.uint32)
     for i in range(0, len(low), 2048):
-        np.minimum(least, (MULTIPLY[:, None] * low[None, i : i + 2048] + ADD[:, None]).min(1), out=least)
+        np.minimum(least, (multiply[:, None] * low[None, i : i + 2048] + add[:, None]).min(1), out=least)
     return least
 
 
 def band_keys(signatures: np.ndarray) -> np.ndarray:
     """One 64-bit key for each band of each signature."""
-    values = signatures.reshape(-1, BANDS, ROWS).astype(np.uint64)
-    keys = np.arange(1, BANDS + 1, dtype=np.uint64)[None] * np.uint64(0x9E3779B97F4A7C15)
+    bands = signatures.shape[1] // ROWS
+    values = signatures.reshape(-1, bands, ROWS).astype(np.uint64)
+    keys = np.arange(1, bands + 1, dtype=np.uint64)[None] * np.uint64(0x9E3779B97F4A7C15)
     for i in range(ROWS):
         keys = _mix((keys + values[:, :, i] + np.uint64(i)) * np.uint64(0xD1342543DE82EF95))
     return keys.view(np.int64)
 
 
-def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    import xxhash
+def _prints(hashes: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
 
-    for batch in batches:
-        sets = [shingles(t) for t in batch.column(1).to_pylist()]
-        keys = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
-        signs = [signature(s).tobytes() if len(s) else None for s in sets]
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), pa.array(signs, pa.binary())], names=["id", "n", "key", "sign"]
-        )
+        for batch in batches:
+            sizes, keys, signs = [], [], []
+            for text in batch.column(1).to_pylist():
+                found = shingles(text)
+                sizes.append(len(found))
+                keys.append(xxhash.xxh3_128_digest(found.tobytes()) if len(found) else None)
+                signs.append(signature(found, hashes).tobytes() if len(found) else None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(signs, pa.binary())], names=["id", "n", "key", "sign"])
+
+    return run
 
 
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if batch.num_rows:
             keys = band_keys(_signs(batch.column(2)))
-            rows = np.repeat(np.arange(batch.num_rows), BANDS)
+            rows = np.repeat(np.arange(batch.num_rows), keys.shape[1])
             yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), batch.column(0).take(pa.array(rows)), batch.column(1).take(pa.array(rows))], names=["band", "id", "n"])
 
 
 def _signs(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint32).reshape(-1, HASHES)
+    """Signatures of one or more rows, a row each."""
+    rows = column.to_pylist()
+    return np.frombuffer(b"".join(rows), dtype=np.uint32).reshape(len(rows), -1)
+
+
+def _least_alike(percent: int) -> int:
+    """Equal minima that two sets at the threshold have but for a chance like MISS."""
+    return math.ceil((percent / 100 - LOOSE) * ROWS * bands_for(percent))
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,7 +195,7 @@ def common_counts(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def _loosely(percent: int):
-    least = int(np.ceil((percent / 100 - LOOSE) * HASHES))
+    least = _least_alike(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -173,14 +217,14 @@ def _exactly(percent: int):
 
 def _tile(percent: int, id_type: pa.DataType):
     """Spanning links between different components among the classes of a tile."""
-    least = int(np.ceil((percent / 100 - LOOSE) * HASHES))
+    least = _least_alike(percent)
 
     def run(table: pa.Table) -> pa.Table:
         ids, parts_of = table["id"].to_pylist(), table["component"].to_pylist()
         signs = _signs(table["sign"].combine_chunks())
         n, parts = len(ids), np.unique(np.array(parts_of, dtype=object).astype(str), return_inverse=True)[1]
-        same = np.zeros((n, n), dtype=np.uint8)
-        for k in range(HASHES):
+        same = np.zeros((n, n), dtype=np.uint16)
+        for k in range(signs.shape[1]):
             same += signs[:, k][:, None] == signs[:, k][None]
         i, j = np.nonzero(np.triu((same >= least) & (parts[:, None] != parts[None]), 1))
         out: list[tuple] = []
@@ -220,7 +264,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     small_batches(spark)
     id_type = docs.schema[id_col].dataType.simpleString()
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    prints = cut(texts.mapInArrow(_prints, f"id {id_type}, n bigint, key binary, sign binary"))
+    prints = cut(texts.mapInArrow(_prints(ROWS * bands_for(percent)), f"id {id_type}, n bigint, key binary, sign binary"))
     # one speaker for each class of equal sets; copies fold together before the shuffle
     classes = cut(prints.where("n > 0 and id is not null").groupBy("key").agg(F.min("id").alias("id"), F.max("n").alias("n"), F.max("sign").alias("sign")))
     bands = classes.select("id", "n", "sign").mapInArrow(_bands, f"band bigint, id {id_type}, n bigint")
@@ -247,7 +291,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
         .select("key", F.coalesce("component", "id").alias("component"))
     )
     own = prints.select("id", "n", "key")
-    found = own.where("n > 0").join(component, "key").select("id", "n", "component")
+    found = own.where("n > 0").join(component, "key", "left").select("id", "n", "component")  # texts of null ids alone have no class
     alone = own.where("n = 0").select("id", "n", F.col("id").alias("component"))
     both = found.unionByName(alone)
     component = F.when(F.col("id").isNotNull(), F.col("component"))
@@ -265,5 +309,4 @@ def _between(members: DataFrame, first: DataFrame, signs: DataFrame, sets: DataF
     dealt = placed.join(once, "band").withColumn("chunk", chunk).withColumn("other", F.explode(F.sequence(F.lit(0), chunks - 1)))
     dealt = dealt.withColumn("low", F.least("chunk", "other")).withColumn("high", F.greatest("chunk", "other"))
     full = dealt.select("band", "low", "high", "id", "component").join(signs, "id").join(sets, "id").select("band", "low", "high", "id", "component", "sign", "items")
-    kind = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[id_type]
-    return full.groupBy("band", "low", "high").applyInArrow(_tile(percent, kind), f"u {id_type}, v {id_type}")
+    return full.groupBy("band", "low", "high").applyInArrow(_tile(percent, arrow_kind(members, "id")), f"u {id_type}, v {id_type}")
