@@ -3,30 +3,39 @@
 Segments (words) are encoded together: one flat numpy array holds the symbols of all
 of them, and each round takes the least pair rank of every word, merges its leftmost
 occurrences at once and compacts the array, until no pair is left. Occurrences merge
-at once only where that equals one-by-one merging; ranks for which a merge could
-create a pair of the same or a better rank merge one at a time. Words of more than
-LONG symbols go through a priority queue instead, as rounds would be many.
+at once only where that equals one-by-one merging: for ranks whose merge could create a
+pair of the same or a better rank, only up to the first occurrence that does.
+
+Words of more than BATCHED symbols have rounds of their own, which differ in one thing
+only: pairs wait in lots by rank, so that a round touches the occurrences of its rank and
+not the whole word, and dead symbols are compacted away at the end. BATCHED bounds how
+long a word may be that holds up the rounds of others; both ways give the same ids.
 
 Defined results: null and empty texts give the end id alone and decode to an empty
-text; characters outside the vocabulary become byte pieces.
+text; characters outside the vocabulary become byte pieces; repeated rows are encoded
+alike, once each; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import hashlib
 import heapq
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator, Sequence
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from profilis.llm.common import small_batches
-from profilis.llm.pieces import SPACE, Pieces, Segmenter, built, read_pieces
+from profilis.llm.pieces import SPACE, Pieces, Segmenter, WordCache, built, read_pieces
 
-LONG = 256
-#: Words whose results a worker keeps at most.
-CACHE_WORDS = 220_000
+BATCHED = 256
+#: Bytes that a worker's kept words may take, about.
+CACHE_BYTES = 64 << 20
+#: Words that are looked up and encoded together.
+LOT = 100_000
 NONE = np.int32(2**31 - 1)
 
 
@@ -75,7 +84,7 @@ class BpeCodec:
             while self.slot_keys[at] >= 0:
                 at = (at + 1) % self.slots
             self.slot_keys[at], self.slot_ids[at], self.slot_ranks[at] = key, i, rank[i]
-        self.words: dict[str, tuple[int, str, str]] = {}
+        self.words = WordCache(CACHE_BYTES)
 
     # -- symbols ---------------------------------------------------------------
     def _symbols(self, joined: str) -> np.ndarray:
@@ -120,22 +129,18 @@ class BpeCodec:
         """Ids of all words in one array, and how many each word has."""
         length = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
         sym = self._symbols("".join(words))
-        alone = length > LONG
-        out: list[np.ndarray | None] = [None] * len(words)
-        if alone.any():
-            at = np.cumsum(length) - length
-            for k in np.flatnonzero(alone).tolist():
-                out[k] = np.array(self._by_queue(sym[at[k] : at[k] + length[k]].tolist()), dtype=np.int32)
-            sym = sym[~np.repeat(alone, length)]
+        alone = length > BATCHED
         short = np.flatnonzero(~alone & (length > 0))
-        flat, owner = self._by_rounds(sym, length[short])
-        if len(short) == len(words):
-            return self._final(flat, np.bincount(owner, minlength=len(words)))
-        ends = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(short)))])
-        for k, i, j in zip(short.tolist(), ends[:-1].tolist(), ends[1:].tolist(), strict=True):
-            out[k] = flat[i:j]
-        rows = [x if x is not None else np.zeros(0, dtype=np.int32) for x in out]
-        return self._final(np.concatenate(rows or [np.zeros(0, dtype=np.int32)]), np.array([len(r) for r in rows], dtype=np.int64))
+        at = np.cumsum(length) - length
+        long = [(k, self._long_by_rounds(sym[at[k] : at[k] + length[k]])) for k in np.flatnonzero(alone).tolist()]
+        flat, owner = self._by_rounds(sym[~np.repeat(alone, length)] if long else sym, length[short])
+        owner = short[owner]
+        if long:
+            flat = np.concatenate([flat, *(x for _, x in long)])
+            owner = np.concatenate([owner, *(np.full(len(x), k) for k, x in long)])
+            order = np.argsort(owner, kind="stable")
+            flat, owner = flat[order], owner[order]
+        return self._final(flat, np.bincount(owner, minlength=len(words)))
 
     def _by_rounds(self, sym: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Symbols after all merges, word by word, and the word of each."""
@@ -181,30 +186,59 @@ class BpeCodec:
                 rank[i], made[i] = self._pair(sym[i], sym[j])
                 rank[i[(j == i) | (word[i] != word[j])]] = NONE
 
-    def _by_queue(self, symbols: list[int]) -> list[int]:
-        n, pairs, rank = self.n, self.pairs, self.rank
-        sym, after = list(symbols), list(range(1, len(symbols) + 1))
-        before = list(range(-1, len(symbols) - 1))
-        queue: list[tuple[int, int, int, int]] = []
+    def _long_by_rounds(self, sym: np.ndarray) -> np.ndarray:
+        """The same for one long word; symbols are linked, pairs wait in lots by rank."""
+        n = len(sym)
+        sym = np.append(sym, np.int32(2**31 - 1))  # a last symbol that pairs with nothing
+        after, before = np.arange(1, n + 2), np.arange(-1, n)
+        rank, made = np.full(n + 1, NONE, dtype=np.int32), np.zeros(n + 1, dtype=np.int32)
+        rank[: n - 1], made[: n - 1] = self._pair(sym[: n - 1], sym[1:n])
+        alive = np.ones(n + 1, dtype=bool)
+        lots: dict[int, list[np.ndarray]] = {}
+        queue: list[int] = []
 
-        def offer(i: int, j: int) -> None:
-            if i >= 0 and j < len(sym) and sym[i] < n and sym[j] < n and (p := pairs.get(sym[i] * n + sym[j])) is not None:
-                heapq.heappush(queue, (rank[p], i, sym[i], sym[j]))
+        def wait(places: np.ndarray) -> None:
+            of = rank[places]
+            places, of = places[of != NONE], of[of != NONE]
+            order = np.argsort(of, kind="stable")
+            places, of = places[order], of[order]
+            for some in np.split(places, np.flatnonzero(of[1:] != of[:-1]) + 1) if len(places) else []:
+                r = int(rank[some[0]])
+                if r not in lots:
+                    lots[r] = []
+                    heapq.heappush(queue, r)
+                lots[r].append(some)
 
-        for i in range(len(sym) - 1):
-            offer(i, i + 1)
+        wait(np.arange(n - 1))
         while queue:
-            _, i, a, b = heapq.heappop(queue)
-            j = after[i]
-            if sym[i] != a or j >= len(sym) or sym[j] != b:
+            r = heapq.heappop(queue)
+            hit = np.concatenate(lots.pop(r))
+            hit = np.unique(hit[rank[hit] == r])  # places whose pair has changed since are stale
+            if not len(hit):
                 continue
-            sym[i], sym[j] = pairs[a * n + b], -1
-            after[i] = after[j]
-            if after[i] < len(sym):
-                before[after[i]] = i
-            offer(before[i], i)
-            offer(i, after[i])
-        return [s for s in sym if s >= 0]
+            run = np.concatenate([[True], after[hit[:-1]] != hit[1:]])
+            since = np.arange(len(hit)) - np.maximum.accumulate(np.where(run, np.arange(len(hit)), 0))
+            take = hit[since % 2 == 0]  # the leftmost of overlapping occurrences
+            gone = after[take]
+            if self.one_by_one[r]:
+                # merged up to the first that creates a pair as good: what stands left is merged, what stands right isn't
+                left, right = before[take], after[gone]
+                beside = np.concatenate([[False], gone[:-1] == left[1:]])
+                left_sym = np.where(beside, np.concatenate([[0], made[take[:-1]]]), sym[left]).astype(np.int32)
+                best = np.minimum(np.where(left >= 0, self._pair(left_sym, made[take])[0], NONE), self._pair(made[take], sym[right])[0])
+                good = np.flatnonzero(best <= r)
+                if len(good):
+                    take, gone = take[: good[0] + 1], gone[: good[0] + 1]
+            sym[take] = made[take]
+            rank[gone], alive[gone] = NONE, False
+            after[take] = after[gone]
+            before[after[gone]] = take
+            alter = np.concatenate([take, before[take]])
+            alter = np.unique(alter[alter >= 0])
+            rank[alter], made[alter] = self._pair(sym[alter], sym[after[alter]])
+            left = hit[rank[hit] == r]
+            wait(np.concatenate([alter, np.setdiff1d(left, alter, assume_unique=True)]))
+        return sym[:n][alive[:n]]
 
     def encode(self, text: str | None) -> list[int]:
         """Ids of a text, with the end id."""
@@ -232,9 +266,11 @@ class BpeCodec:
 
     # -- digests of many texts -------------------------------------------------
     def learn(self, words: set[str]) -> None:
+        """Results of these words are in the cache, where room for them has been made."""
         fresh = [w for w in words if w not in self.words]
-        if len(self.words) + len(fresh) > CACHE_WORDS:
-            self.words = {w: self.words[w] for w in words if w in self.words}
+        if self.words.held > self.words.room:
+            self.words.trim()
+            fresh = list(words)
         flat, size = self.encode_flat(fresh)
         ids = flat.tolist()
         shown = list(map(self.decimal.__getitem__, ids))
@@ -243,42 +279,78 @@ class BpeCodec:
         for word, n in zip(fresh, size.tolist(), strict=True):
             to = at + n
             text = read[at:to]
-            self.words[word] = (n, " ".join(shown[at:to]), self._joined(ids[at:to]) if None in text else "".join(text))
+            self.words.keep(word, (n, " ".join(shown[at:to]), self._joined(ids[at:to]) if None in text else "".join(text)))
             at = to
 
+    def digests(self, texts: list[str | None], keep_ids: bool = False) -> list[tuple[int, str, str, list[int] | None]]:
+        """Of each text: number of ids, digests of ids and decoded text, and the ids if kept.
+
+        Words are looked up in lots of about LOT, so that neither a long text nor many
+        texts hold more at a time.
+        """
+        end = str(self.pieces.end_id)
+        out: list[tuple[int, str, str, list[int] | None]] = []
+        lot: list[list[str]] = []
+        size = 0
+        for text in texts:
+            words = self.segmenter.segments(text or "")
+            some = list(islice(words, LOT))
+            if len(some) < LOT:
+                lot.append(some)
+                size += len(some)
+            if len(some) == LOT or size >= LOT:
+                out += self._of_lot(lot, end, keep_ids)
+                lot, size = [], 0
+            if len(some) == LOT:
+                out.append(self._of_parts(chain([some], iter(lambda: list(islice(words, LOT)), [])), end, keep_ids))
+        return out + self._of_lot(lot, end, keep_ids)
+
+    def _of_lot(self, lot: list[list[str]], end: str, keep_ids: bool) -> list[tuple[int, str, str, list[int] | None]]:
+        self.learn({w for words in lot for w in words})
+        return [self._of_parts([words], end, keep_ids, known=True) for words in lot]
+
+    def _of_parts(self, parts: Iterable[list[str]], end: str, keep_ids: bool, known: bool = False) -> tuple[int, str, str, list[int] | None]:
+        n, first = 1, True
+        of_ids, of_text = hashlib.sha256(), hashlib.sha256()
+        ids: list[int] | None = [] if keep_ids else None
+        for words in parts:
+            if not known:
+                self.learn(set(words))
+            found = [self.words[w] for w in words]
+            n += sum(f[0] for f in found)
+            joined = " ".join([f[1] for f in found])
+            of_ids.update(f"{joined} ".encode() if found else b"")
+            text = "".join([f[2] for f in found])
+            of_text.update((text[1:] if first else text).encode())  # the mark that encoding put first
+            first = first and not found
+            if ids is not None and found:
+                ids += map(int, joined.split(" "))
+        of_ids.update(end.encode())
+        return n, of_ids.hexdigest(), of_text.hexdigest(), None if ids is None else [*ids, int(end)]
+
 
-def encode_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:
+def encode_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False, keep: Sequence[str] = ()) -> DataFrame:
     """One row per document: its number of ids and digests of ids and decoded text.
 
-    keep_ids adds ``ids`` (array<int>). Rows stay where they are: no shuffle.
+    keep_ids adds ``ids`` (array<int>); keep names other columns to carry. Rows stay where
+    they are: no shuffle.
     """
     spark = docs.sparkSession
     small_batches(spark)
     shipped = spark.sparkContext.broadcast(read_pieces(model_path))
-    id_type = docs.schema[id_col].dataType.simpleString()
-    extra = ", ids array<int>" if keep_ids else ""
+    kept = [id_col, *(c for c in keep if c != id_col)]
+    picked = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text_col}`").alias("__text"))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema.fields[:-1])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = built(BpeCodec, shipped.value)
-        end = str(codec.pieces.end_id)
         for batch in batches:
-            cuts = [codec.segmenter.cut(t or "") for t in batch.column(1).to_pylist()]
-            codec.learn({w for c in cuts for w in c})
-            counts, ids, digests, texts = [], [], [], []
-            for c in cuts:
-                found = [codec.words[w] for w in c]
-                counts.append(sum(f[0] for f in found) + 1)
-                joined = " ".join([*(f[1] for f in found), end])
-                digests.append(hashlib.sha256(joined.encode()).hexdigest())
-                texts.append(hashlib.sha256("".join([f[2] for f in found])[1:].encode()).hexdigest())
-                if keep_ids:
-                    ids.append([int(x) for x in joined.split(" ")])
-            columns = [batch.column(0), pa.array(counts, pa.int64()), pa.array(digests, pa.string()), pa.array(texts, pa.string())]
-            names = [id_col, "n_tokens", "ids_sha256", "decoded_sha256"]
+            found = codec.digests(batch.column(len(kept)).to_pylist(), keep_ids)
+            columns = [*batch.columns[: len(kept)], pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.string()), pa.array([f[2] for f in found], pa.string())]
+            names = [*kept, "n_tokens", "ids_sha256", "decoded_sha256"]
             if keep_ids:
-                columns.append(pa.array(ids, pa.list_(pa.int32())))
+                columns.append(pa.array([f[3] for f in found], pa.list_(pa.int32())))
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    picked = docs.select(id_col, text_col)
-    return picked.mapInArrow(run, f"{id_col} {id_type}, n_tokens bigint, ids_sha256 string, decoded_sha256 string{extra}")
+    return picked.mapInArrow(run, f"{schema}, n_tokens bigint, ids_sha256 string, decoded_sha256 string{', ids array<int>' if keep_ids else ''}")

@@ -8,7 +8,8 @@ piece covers counts as its UTF-8 bytes (byte fallback) at the least score less t
 Scores are summed in double precision; with integer scores sums are exact, so segments
 that no piece crosses are scored alone and kept by word.
 
-Defined results: null and empty texts have 0 tokens and score 0.
+Defined results: null and empty texts have 0 tokens and score 0; repeated rows count
+alike, once each; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -19,10 +20,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from profilis.llm.common import small_batches
-from profilis.llm.pieces import Pieces, Segmenter, built, read_pieces
+from profilis.llm.pieces import Pieces, Segmenter, WordCache, built, read_pieces
 
 UNKNOWN_PENALTY = 10.0
-CACHE_WORDS = 500_000
+#: Bytes that a worker's kept words may take, about.
+CACHE_BYTES = 128 << 20
+#: Characters from which on a segment isn't kept.
+RARE = 64
 NEVER = float("-inf")
 
 
@@ -36,7 +40,7 @@ class UnigramCounter:
             self.automaton.add_word(pieces.names[i], (len(pieces.names[i]), pieces.scores[i]))
         self.automaton.make_automaton()
         self.unknown = min(pieces.scores[i] for i in pieces.normal) - UNKNOWN_PENALTY
-        self.words: dict[str, tuple[int, float]] = {}
+        self.words = WordCache(CACHE_BYTES)
 
     def count(self, word: str) -> tuple[int, float]:
         """Pieces and score of the best cut of one segment."""
@@ -75,13 +79,14 @@ class UnigramCounter:
 
     def text(self, text: str | None) -> tuple[int, float]:
         known = self.words
-        if len(known) > CACHE_WORDS:
-            known.clear()
         n, score = 0, 0.0
-        for word in self.segmenter.cut(text or ""):
+        for word in self.segmenter.segments(text or ""):
             found = known.get(word)
             if found is None:
-                found = known[word] = self.count(word)
+                found = self.count(word)
+                if len(word) < RARE:
+                    known.trim()
+                    known.keep(word, found)
             n += found[0]
             score += found[1]
         return n, score

@@ -15,9 +15,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from profilis.llm import chat, components, decontaminate, licenses, lm, minhash, quality, secrets, topk
+from profilis.llm import chat, components, decontaminate, licenses, lm, minhash, quality, secrets, sentencepiece_codec, topk
 from profilis.llm.queries import PIECE_MODEL, secret_model
-from profilis.llm.pieces import read_pieces
+from profilis.llm.pieces import Segmenter, read_pieces
 from profilis.llm.sentencepiece_codec import BpeCodec, encode_documents
 from profilis.llm.token_counts import UnigramCounter, count_tokens
 
@@ -260,6 +260,53 @@ def test_counts_equal_the_unigram_library(spark, pieces):
     assert count_tokens(docs_of(spark, ["x"]).limit(0), PIECE_MODEL).count() == 0
 
 
+def test_long_words_have_rounds_too(pieces, monkeypatch):
+    import sentencepiece
+
+    library = sentencepiece.SentencePieceProcessor(model_file=PIECE_MODEL)
+    rng = random.Random(8)
+    parts = ["the", "ing", "tion", "er", "An", "re", "=", "__", "==", "--", "a", "aa", "é", "𝄞", "ab", "xx"]
+    words = ["".join(rng.choice(parts) for _ in range(n)) for n in (3, 40, 300, 2000) for _ in range(6)]
+    words += ["".join(rng.choice("ab") for _ in range(700)), "x" * 3001, "".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(900)), "=" * 999]
+    for limit, apart in ((0, 10**9), (3, 24), (256, 10**9), (10**9, 0)):  # all words alone, or all together; cut between characters or not
+        monkeypatch.setattr(sentencepiece_codec, "BATCHED", limit)
+        monkeypatch.setattr(Segmenter, "LONG", apart)
+        codec = BpeCodec(pieces)
+        flat, size = codec.encode_flat(["▁" + w for w in words])
+        ends = np.cumsum(size)
+        for w, n, e in zip(words, size.tolist(), ends.tolist(), strict=True):
+            assert flat[e - n : e].tolist() == library.encode(w), (limit, apart, w[:30])
+            assert codec.encode(w) == [*library.encode(w), 2]
+
+
+def test_lots_and_caches_are_bounded(spark, pieces, monkeypatch):
+    rng = random.Random(9)
+    texts = ["".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(400)) for _ in range(30)] + [" ".join(f"{rng.random()}" for _ in range(300)) for _ in range(10)] + ["", None, "a b c"]
+    whole = BpeCodec(pieces).digests(texts, keep_ids=True)
+    codec, counter, plain = BpeCodec(pieces), UnigramCounter(pieces), UnigramCounter(pieces)
+    codec.words.room = counter.words.room = 20_000
+    monkeypatch.setattr(sentencepiece_codec, "LOT", 50)
+    assert codec.digests(texts, keep_ids=True) == whole
+    assert [counter.text(t) for t in texts] == [plain.text(t) for t in texts]
+    most = max(len(w) for w in codec.words) * 12 + codec.words.ENTRY
+    assert codec.words.held <= 20_000 + 100 * most and counter.words.held <= 20_000 + most
+    monkeypatch.setattr(minhash, "CACHE_BYTES", 5000)
+    monkeypatch.setattr(minhash, "STEP", 7)
+    tokens = minhash._Tokens()
+    words = [f"w{i % 300}".encode() for i in range(2000)]
+    import xxhash
+
+    assert tokens.of(words).tolist() == [xxhash.xxh3_64_intdigest(w) for w in words] and tokens.held <= 5000 + 7 * 210
+    monkeypatch.setattr("profilis.llm.pieces.WHOLE", 10)
+    assert [BpeCodec(pieces).digests([t], keep_ids=True)[0] for t in texts] == whole
+
+
+def test_encoding_carries_columns(spark):
+    docs = docs_of(spark, ["a b", None])
+    got = encode_documents(docs, PIECE_MODEL, keep_ids=True, keep=["lang", "n_chars"]).collect()
+    assert [(r["lang"], r["n_chars"], r["n_tokens"], len(r["ids"])) for r in sorted(got)] == [("x", 7, 3, 3), ("x", 7, 1, 1)]
+
+
 # -- 5 -------------------------------------------------------------------------------
 def brute_components(texts, percent=85):
     sets = []
@@ -299,6 +346,25 @@ def test_near_duplicates_are_the_exact_components(spark, monkeypatch, chunk):
     assert all(got[i]["kept"] == (roots[i] == i) for i in got)
 
 
+@pytest.mark.parametrize("percent", [80, 95])
+def test_near_duplicates_at_other_thresholds(spark, percent):
+    texts = [*ODD, *(t for k in range(8) for t in near_copies(12, 100 + k, 0.004 + 0.004 * k)), *sample_texts(10), *sample_texts(5)]
+    texts = [f"{t} {i // 12}" if t and i > len(ODD) and i % 5 == 0 else t for i, t in enumerate(texts)]
+    sizes, roots = brute_components(texts, percent)
+    got = {r["doc_id"]: r for r in minhash.near_duplicates(docs_of(spark, texts), percent).collect()}
+    assert [got[i]["n_shingles"] for i in range(len(texts))] == sizes
+    assert [got[i]["component_id"] for i in range(len(texts))] == roots
+    assert (1 - (percent / 100) ** minhash.ROWS) ** minhash.bands_for(percent) <= minhash.MISS * 1.01
+
+
+def test_near_duplicates_keep_texts_of_null_ids(spark):
+    rows = [(None, "only this row has these words here"), (None, None), (3, "a b c d e f"), (4, "a b c d e f"), (None, "a b c d e f")]
+    for kind in ("long", "string"):
+        docs = spark.createDataFrame(rows, "doc_id long, text string").select(F.col("doc_id").cast(kind), "text", F.lit(1).alias("key"), F.lit(2).alias("component"))
+        got = sorted((str(r["doc_id"]), r["n_shingles"], str(r["component_id"]), r["kept"]) for r in minhash.near_duplicates(docs).collect())
+        assert got == [("3", 2, "3", True), ("4", 2, "3", False), ("None", 0, "None", False), ("None", 2, "None", False), ("None", 3, "None", False)]
+
+
 def test_near_duplicates_of_nothing_and_of_null_ids(spark):
     docs = docs_of(spark, ["a b c", "a b c"])
     assert minhash.near_duplicates(docs.limit(0)).count() == 0
