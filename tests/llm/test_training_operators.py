@@ -15,7 +15,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from profilis.llm import chat, components, decontaminate, licenses, lm, minhash, quality, secrets, sentencepiece_codec, topk
+from profilis.llm import chat, components, decontaminate, license_rules, licenses, lm, minhash, quality, secrets, sentencepiece_codec, topk
 from profilis.llm.queries import PIECE_MODEL, secret_model
 from profilis.llm.pieces import Segmenter, read_pieces
 from profilis.llm.sentencepiece_codec import BpeCodec, encode_documents
@@ -213,6 +213,48 @@ def test_every_alternative_of_every_rule_fires(spark):
     assert all(label in got[cases.index(t)] for t, label in names.items())
 
 
+def plain_scan(text):
+    """(labels, score) by the rules' definition, with Python's re and no suppression tricks."""
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate(LOWER))
+    joined = f" {' '.join(words)} "
+    found = []
+    for at, r in enumerate(licenses.rules()):
+        if r.keyword in joined:
+            for m in re.finditer(r.regex, joined):
+                first = joined[: m.start()].count(" ") - 1
+                found.append((first, first + m[0].count(" ") + 1, r.priority, at, r))
+    # within one of the same or a better priority; of equal intervals the first rule stays
+    rank = lambda x: (x[2], x[3])
+    kept = [x for x in found if not any(y is not x and y[0] <= x[0] and x[1] <= y[1] and y[2] <= x[2] and (y[:2] != x[:2] or rank(y) < rank(x)) for y in found)]
+    base = {label for p, label in licenses.BASE if f" {p} " in joined}
+    score = max([x[4].confidence for x in kept], default=0.0)
+    return ",".join(sorted(base | {x[4].label for x in kept})), max(score, 0.95) if base else score
+
+
+def test_labels_and_scores_equal_a_plain_scan(spark):
+    rng = random.Random(12)
+    samples = [t for r in licenses.rules() for t in expansions(r.regex, 3, rng)[:1]]
+    texts = [*ODD, *samples, *(" ".join(rng.choice(samples + ["and", "the", "licence", "gnu", "or later", "version 2"]) for _ in range(rng.randint(2, 12))) for _ in range(150))]
+    texts.append(". ".join(rng.choice(samples) for _ in range(300)))  # more detections than a fold gathers
+    got = {r["doc_id"]: r for r in licenses.scan_licenses(docs_of(spark, texts)).select("doc_id", "labels", "score").collect()}
+    for i, t in enumerate(texts):
+        assert (got[i]["labels"], got[i]["score"]) == plain_scan(t), t
+
+
+def test_rules_are_many_and_apart():
+    written = license_rules.BODIES + license_rules.NOTICES + license_rules.TITLES
+    assert len({regex for _, _, regex in written}) == len(written) >= 200
+    assert len({r.regex for r in licenses.rules()}) == len(licenses.rules()) and {r.priority for r in licenses.rules()} == set(range(licenses.PRIORITIES))
+
+
+def test_running_fold_keeps_order(spark):
+    from profilis.llm.common import scanned
+
+    sums = scanned(F.expr("sequence(1, id)"), F.lit(0).cast("bigint"), "bigint", lambda s, x: (s + x, F.when(x % 3 > 0, s + x)))
+    for n, got in spark.range(1, 400, 57).select("id", sums.alias("s")).collect():
+        assert got == [k * (k + 1) // 2 for k in range(1, n + 1) if k % 3]
+
+
 def test_contained_detections_are_suppressed(spark):
     m = "array(named_struct('rule',{0},'label','{1}','priority',{2},'confidence',0.5D,'first',{3},'end',{4}), named_struct('rule',9,'label','b','priority',1,'confidence',0.5D,'first',2,'end',5))"
     cases = {(1, "a", 1, 0, 9): ["a"], (1, "a", 2, 0, 9): ["a", "b"], (1, "a", 1, 2, 5): ["a"], (1, "a", 0, 3, 5): ["b", "a"], (1, "a", 3, 3, 5): ["b"], (1, "a", 1, 4, 7): ["b", "a"]}
