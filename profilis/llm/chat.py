@@ -2,18 +2,21 @@
 
 A record's layout is known by a fingerprint, the SHA-256 of its nested field paths; it
 selects a declarative mapping to (role, text) turns. Everything runs as Spark
-expressions. Rows of turns are mapped as they are, with the fingerprint of their schema;
-only JSON records are parsed.
+expressions. Tables are mapped as they are, by the fingerprint of their schema; only JSON
+records, whose layouts differ from row to row, are parsed.
 
 The template writes a turn as ``### role:``, line feed, text, ``</turn>``, line feed.
 Inside roles and texts a backslash becomes ``\\e``, the turn end ``\\t``, the header
 mark ``\\h`` and, in roles, a line feed ``\\n``; so no mark ever stands inside a text
 and reading back is exact.
 
-Defined results: null texts and roles are empty; turns with an equal turn number are
-ordered by role, then text; a record whose fingerprint has no mapping gives null turns;
-an empty conversation gives an empty text. Spark can't parse a JSON text of 20 million
-characters or a record of more than its variant limit: such a record fails the query.
+Defined results: null texts and roles are empty, a null turn number is 0; turns with an
+equal turn number are ordered by role, then text; repeated rows are turns of their own; a
+null conversation id is a conversation too. A record whose fingerprint has no mapping gives
+null turns, a table of such a schema is an error; an empty conversation gives an empty text
+and an empty table an empty result. A conversation is one value, as its text is: all of its
+turns meet in one task. Spark can't parse a JSON text of 20 million characters or a record
+of more than its variant limit: such a record fails the query.
 """
 
 from __future__ import annotations
@@ -24,6 +27,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, StructType
 
+from profilis.llm.common import scanned
+
 HEAD, END = "### ", "</turn>\n"
 
 #: Layout: shape of its field paths, and the turns it stands for as a Spark expression.
@@ -111,17 +116,16 @@ def format_turns(df: DataFrame, turns_col: str = "turns") -> DataFrame:
     head = lambda x: F.concat(F.lit(HEAD), F.replace(escaped(x["role"]), F.lit("\n"), F.lit("\\n")), F.lit(":\n"))
     pieces = F.transform(turns_col, lambda x: F.struct(head(x).alias("head"), escaped(x["text"]).alias("body"), (x["role"] == "assistant").alias("learn")))
     df = df.withColumn("__p", pieces)
-    # where each turn begins, by running sums of lengths
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.expr("cast(array() as array<struct<start:bigint,end:bigint>>)").alias("spans"))
 
-    def step(acc, x):
-        begin = acc["at"] + F.length(x["head"])
+    def step(at: Column, x: Column) -> tuple[Column, Column]:
+        begin = at + F.length(x["head"])
         end = begin + F.length(x["body"])
-        span = F.array(F.struct(begin.alias("start"), end.alias("end")))
-        return F.struct((end + len(END)).alias("at"), F.when(x["learn"], F.concat(acc["spans"], span)).otherwise(acc["spans"]).alias("spans"))
+        return end + len(END), F.when(x["learn"], F.struct(begin.alias("start"), end.alias("end")))
 
     text = F.array_join(F.transform("__p", lambda x: F.concat(x["head"], x["body"], F.lit(END))), "")
-    return df.withColumn("formatted", text).withColumn("loss_spans", F.aggregate("__p", start, step)["spans"]).drop("__p")
+    # where each turn begins, by a running sum of lengths
+    spans = scanned(F.col("__p"), F.lit(0).cast("bigint"), "struct<start:bigint,end:bigint>", step)
+    return df.withColumn("formatted", text).withColumn("loss_spans", spans).drop("__p")
 
 
 def read_back(formatted: Column) -> Column:
@@ -149,12 +153,25 @@ def conversation_turns(rows: DataFrame, id_col: str = "conv_id") -> DataFrame:
     return rows.groupBy(id_col).agg(turns.alias("turns"))
 
 
-def format_conversations(rows: DataFrame, id_col: str = "conv_id") -> DataFrame:
-    """One row per conversation: its layout, canonical turns, formatted text and loss spans."""
-    records = conversation_turns(rows, id_col)
-    mark = fingerprint(schema_shape(records.select("turns").schema))
-    layout, rule = next((name, rule) for name, (of_shape, rule) in MAPPINGS.items() if fingerprint(of_shape) == mark)
-    turns = records.select(id_col, F.lit(mark).alias("fingerprint"), F.lit(layout).alias("layout"), _filled(F.expr(rule)).alias("turns"))
+def canonical_turns(records: DataFrame, id_col: str = "conv_id") -> DataFrame:
+    """One row per record of a table: its fingerprint, layout and turns, by the table's schema."""
+    body = records.drop(id_col)
+    mark = fingerprint(schema_shape(body.schema))
+    known = {fingerprint(of_shape): (name, rule) for name, (of_shape, rule) in MAPPINGS.items()}
+    if mark not in known:
+        raise ValueError(f"no mapping for records of the layout {schema_shape(body.schema)}")
+    layout, rule = known[mark]
+    return records.select(id_col, F.lit(mark).alias("fingerprint"), F.lit(layout).alias("layout"), _filled(F.expr(rule)).alias("turns"))
+
+
+def format_conversations(rows: DataFrame, id_col: str = "conv_id", *others: DataFrame) -> DataFrame:
+    """One row per conversation: its layout, canonical turns, formatted text and loss spans.
+
+    ``rows`` has one row per turn; others hold one record per row, each table in a layout of its own.
+    """
+    turns = canonical_turns(conversation_turns(rows, id_col), id_col)
+    for table in others:
+        turns = turns.unionByName(canonical_turns(table, id_col))
     return format_turns(turns)
 
 

@@ -53,10 +53,12 @@ def secret_model() -> secrets.SecretModel:
 
 
 def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table has a row for each turn; the added conversation is one record of messages."""
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     hard = F.lit("\\### Assistant: </turn> ok")
-    extra = spark.range(2).select(F.lit(-7).cast("bigint").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), hard.alias("text"))
-    return chat.digests(chat.format_conversations(rows.unionByName(extra)))
+    messages = F.array(*[F.struct(F.lit(role).alias("role"), hard.alias("content")) for role in ("user", "assistant")])
+    extra = spark.range(1).select(F.lit(-7).cast("bigint").alias("conv_id"), messages.alias("messages"))
+    return chat.digests(chat.format_conversations(rows, "conv_id", extra))
 
 
 def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

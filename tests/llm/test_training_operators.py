@@ -480,6 +480,46 @@ def test_layouts_become_turns(spark):
     assert got[9] == got[10] == got[11] == (None, None)
 
 
+def test_tables_of_unlike_layouts_are_chosen_by_their_schema(spark):
+    rows = spark.createDataFrame([(1, 0, "user", "q"), (1, 1, "assistant", "a")], "conv_id long, turn long, role string, text string")
+    tables = [
+        spark.createDataFrame([(2, [("q", "user"), (None, "assistant")])], "conv_id long, messages array<struct<content:string,role:string>>"),
+        spark.createDataFrame([(3, [("human", "q"), ("gpt", "a")])], "conv_id long, conversations array<struct<from:string,value:string>>"),
+        spark.createDataFrame([(4, "do", "this", "done"), (5, "do", None, None)], "conv_id long, instruction string, input string, output string"),
+        spark.createDataFrame([(6, "p", "c")], "conv_id long, prompt string, completion string"),
+        spark.createDataFrame([(7, "a", "q")], "conv_id long, answer string, question string"),
+    ]
+    formatted = chat.format_conversations(rows, "conv_id", *tables)
+    got = {r["conv_id"]: r for r in formatted.collect()}
+    assert [got[i]["layout"] for i in range(1, 8)] == ["rows", "messages", "from_value", "instruction_input", "instruction_input", "prompt_completion", "question_answer"]
+    assert len({r["fingerprint"] for r in got.values()}) == 6
+    turns = {i: [tuple(t) for t in r["turns"]] for i, r in got.items()}
+    assert turns[2] == [("user", "q"), ("assistant", "")] and turns[3] == turns[1] == [("user", "q"), ("assistant", "a")] == turns[7]
+    assert turns[4] == [("user", "do\n\nthis"), ("assistant", "done")] and turns[5] == [("user", "do"), ("assistant", "")]
+    for i, r in got.items():
+        assert "".join(r["formatted"][a:b] for a, b in r["loss_spans"]) == "".join(t for role, t in turns[i] if role == "assistant")
+    with pytest.raises(ValueError, match="no mapping"):
+        chat.format_conversations(rows, "conv_id", spark.createDataFrame([(1, "x")], "conv_id long, unknown string"))
+
+
+def test_many_turns_read_back(spark):
+    rows = spark.range(1000).select(F.lit(1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"), F.concat(F.lit("### x</turn>\\"), F.col("id")).alias("text"))
+    r = chat.digests(chat.format_conversations(rows)).first()
+    loss = "".join(f"### x</turn>\\{i}" for i in range(1, 1000, 2))
+    assert (r["n_turns"], r["loss_chars"], r["loss_sha256"]) == (1000, len(loss), hashlib.sha256(loss.encode()).hexdigest())
+
+
+def test_null_turns_and_ties_read_back(spark):
+    rows = [(5, 0, "user", "b"), (5, 0, "user", "a"), (5, None, "assistant", "z"), (5, 0, "user", "a"), (None, 0, "assistant", "n"), (None, None, None, None)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {r["conv_id"]: r for r in chat.digests(chat.format_conversations(df)).collect()}
+    for c in (5, None):
+        mine = sorted((t or 0, r or "", x or "") for a, t, r, x in rows if a == c)
+        loss = "".join(x for _, r, x in mine if r == "assistant")
+        assert got[c]["n_turns"] == len(mine) and got[c]["turns_sha256"] == hashlib.sha256("".join(f"{r}\n{x}\n" for _, r, x in mine).encode()).hexdigest()
+        assert (got[c]["loss_chars"], got[c]["loss_sha256"]) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
+
+
 def test_long_texts_keep_their_turns(spark):
     text = F.expr("if(id = 1, repeat('x', 21000000), 'short')")
     rows = spark.range(2).select(F.lit(1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), text.alias("text"))
