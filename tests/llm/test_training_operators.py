@@ -140,6 +140,54 @@ def test_decontamination_finds_every_item_within_its_budget(spark):
     assert decontaminate.find_contamination(docs_of(spark, texts), table.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("opening", ["what is the name of ", "où est la clé 𝄞𝄞 ", ""])
+def test_items_with_a_common_opening(opening):
+    rng = random.Random(6)
+    words = ["ab", "cde", "été", "xyz", "qrs", "uvw", "one", "two", "ñu"]
+    say = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    items = [opening + say(5) for _ in range(30)] + ["a b", "a b", "b", None, "", "ñ ñ"]
+    items += [items[3].upper() + "!", items[4]]
+    known = [decontaminate.Item(i, t) for i, t in enumerate(items)]
+    texts = [say(4) + " " + opening + say(2), opening, "x a  b y", "ab b", "ñ ñ", None, "", "a", items[0][:-1]]
+    texts += [say(1) + " " + edited(rng, items[rng.randrange(30)], k) + " " + say(1) for k in (0, 1, 2, 3, 6) for _ in range(4)]
+    texts.append(" ".join(items[:3]) + " " + opening * 5)
+    got = decontaminate.Matcher(items).match(texts)
+    for text, found in zip(texts, got, strict=True):
+        plain = decontaminate.normalised(text).decode()
+        want = {}
+        for x in known:
+            if len(x.raw) >= 8 and (n := distance(x.text, plain)) <= x.budget:
+                want[x.id] = n
+            elif 0 < len(x.raw) < 8 and f" {x.text} " in f" {plain} ":
+                want[x.id] = 0
+        assert dict(found) == want and len(found) == len(want), text
+
+
+def test_many_items_with_a_common_opening_are_fast():
+    import time
+
+    rng = random.Random(1)
+    vocabulary = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 9))) for _ in range(5000)]
+    say = lambda n: " ".join(rng.choice(vocabulary) for _ in range(n))
+    matcher = decontaminate.Matcher(["what is " + say(12) for _ in range(5000)])
+    text = " ".join(rng.choice([say(8), "what is the " + say(5)]) for _ in range(700))[:38_000]
+    began = time.perf_counter()
+    assert matcher.match([text + " " + matcher.raw(4321).decode()])[0] == [(4321, 0)]
+    assert time.perf_counter() - began < 5
+    assert matcher.kept_cost < 2 * decontaminate.KEPT_BYTES
+
+
+def test_passes_of_items(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "BUILT_BYTES", 30_000)
+    items = [(i, t) for i, t in enumerate(sample_texts(20, 3))] + [(100, None)]
+    table = spark.createDataFrame(items, "item_id long, text string")
+    texts = [f"so {t} on" for _, t in items[:20]] + [None]
+    assert len(list(decontaminate._item_passes(table, "item_id", "text"))) > 3
+    got = decontaminate.find_contamination(docs_of(spark, texts), table).collect()
+    assert {(i, i) for i in range(20)} <= {(r["doc_id"], r["item_id"]) for r in got}
+    assert [r["doc_id"] for r in decontaminate.drop_contaminated(docs_of(spark, texts), table).collect()] == [20]
+
+
 def test_myers():
     rng = random.Random(2)
     for _ in range(200):
