@@ -5,11 +5,13 @@ characters; a long one through overlapping windows, of which the highest score c
 The network is trained here on labelled findings: by default generated ones (random keys
 of common shapes in assignment-like, URL-like or plain surroundings and inside long chains
 against identifiers, paths, numbers, words, mail addresses and placeholders), or findings
-handed in. Its logits are calibrated on findings kept apart and the threshold is the
-highest one, up to 0.98, that keeps RECALL of those.
+handed in. Its logits are calibrated on findings kept apart. Each kind of candidate (long
+ones, ones of letters only, others) has a threshold of its own: the highest that keeps
+RECALL of the kind's secrets among those, and of all of them where a kind has too few.
 
 Base matches always stay. Defined results: null and empty texts have no findings;
-offsets are code points, ends exclusive; repeated rows are scanned alike.
+offsets are code points, ends exclusive; repeated rows are scanned alike, once each; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -38,6 +40,7 @@ KINDS = ("assign", "access", "hex", "network")
 HINTS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 #: What else the network judges: all tokens of 16 characters or more.
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{16,}")
+TOKEN = frozenset(string.ascii_letters + string.digits + "+/_.=-")
 
 LEFT, BODY, RIGHT = 20, 48, 8
 WIDTH = LEFT + BODY + RIGHT
@@ -56,6 +59,15 @@ def window(text: str, start: int, end: int) -> np.ndarray:
     return np.array([_CLASS.get(c, 1) for c in line], dtype=np.int64)
 
 
+def whole(text: str, start: int, end: int) -> tuple[str, int, int]:
+    """A finding as the scanner sees it: the run of token characters that holds it."""
+    while start > 0 and text[start - 1] in TOKEN:
+        start -= 1
+    while end < len(text) and text[end] in TOKEN:
+        end += 1
+    return text, start, end
+
+
 def stretches(start: int, end: int) -> list[tuple[int, int]]:
     """Stretches of at most BODY characters, half a BODY apart, that cover a candidate."""
     if end - start <= BODY:
@@ -77,7 +89,12 @@ class SecretModel:
     offset: float
     slope: float
     shift: float
-    threshold: float
+    thresholds: tuple[float, ...] = (0.5,) * 3
+
+    @property
+    def threshold(self) -> float:
+        """That of ordinary candidates: neither long nor of letters only."""
+        return self.thresholds[2]
 
     def logits(self, windows: np.ndarray) -> np.ndarray:
         pooled, _ = _pool(windows, self.kernel, self.bias)
@@ -90,6 +107,22 @@ class SecretModel:
         return self.calibrated(self.logits(windows))
 
 
+#: Secrets of a kind, among those kept apart, from which on it has a threshold of its own.
+ENOUGH = 40
+
+
+def kind_of(text: str, start: int, end: int) -> int:
+    """0 for a candidate of more than BODY characters, 1 for one without digits, else 2."""
+    if end - start > BODY:
+        return 0
+    return 2 if any("0" <= c <= "9" for c in text[start:end]) else 1
+
+
+def recall_threshold(scores: np.ndarray) -> float:
+    """The highest threshold that RECALL of the scores reach; 0.5 without any."""
+    return float(np.sort(scores)[int((1 - RECALL) * len(scores))]) if len(scores) else 0.5
+
+
 def _pool(windows: np.ndarray, kernel: np.ndarray, bias: np.ndarray) -> tuple[np.ndarray, tuple]:
     """Convolution over one-hot characters (rows of the kernel are added), then maxima and means."""
     steps = WIDTH - SPAN + 1
@@ -212,9 +245,9 @@ def long_findings(n: int, seed: int) -> tuple[list[tuple[str, int, int]], np.nda
 def train_secrets(findings: tuple[list[tuple[str, int, int]], np.ndarray] | None = None, seed: int = 11, epochs: int = 8) -> SecretModel:
     """Adam on the logistic loss of each finding's highest window; a fifth of the findings is kept for calibration and threshold."""
     if findings is None:
-        (short, a), (long, b) = generated_findings(5000, seed), long_findings(1800, seed + 1)
+        (short, a), (long, b) = generated_findings(5000, seed), long_findings(2400, seed + 1)
         findings = short + long, np.concatenate([a, b])
-    rows, labels = findings
+    rows, labels = [whole(*f) for f in findings[0]], findings[1]
     rng = np.random.default_rng(seed)
     views = [stretches(a, b) for _, a, b in rows]
     x = np.stack([window(text, a, b) for (text, _, _), parts in zip(rows, views, strict=True) for a, b in parts])
@@ -253,14 +286,15 @@ def train_secrets(findings: tuple[list[tuple[str, int, int]], np.ndarray] | None
                 m += 0.1 * (g - m)
                 v += 0.001 * (g * g - v)
                 w -= 0.01 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-    raw = SecretModel(weights[0], weights[1], weights[2], float(weights[3][0]), 1.0, 0.0, 0.5)
+    raw = SecretModel(weights[0], weights[1], weights[2], float(weights[3][0]), 1.0, 0.0)
     at, begin = windows_of(kept)
     logits = np.maximum.reduceat(np.concatenate([raw.logits(x[at[i : i + 1024]]) for i in range(0, len(at), 1024)]), begin)
     (slope,), shift = fit_logistic(logits[:, None], y[kept])
-    model = SecretModel(raw.kernel, raw.bias, raw.dense, raw.offset, float(slope), shift, 0.5)
-    positive = np.sort(model.calibrated(logits[y[kept] == 1]))
-    at = positive[int((1 - RECALL) * len(positive))] if len(positive) else 0.5
-    return SecretModel(raw.kernel, raw.bias, raw.dense, raw.offset, float(slope), shift, float(min(at, 0.98)))
+    scores = SecretModel(raw.kernel, raw.bias, raw.dense, raw.offset, float(slope), shift).calibrated(logits)
+    kinds, secret = np.array([kind_of(*rows[i]) for i in kept]), y[kept] == 1
+    of_kind = [scores[secret & (kinds == k)] for k in range(3)]
+    thresholds = tuple(recall_threshold(s if len(s) >= ENOUGH else scores[secret]) for s in of_kind)
+    return SecretModel(raw.kernel, raw.bias, raw.dense, raw.offset, float(slope), shift, thresholds)
 
 
 # -- scanning ------------------------------------------------------------------
@@ -305,7 +339,7 @@ class Scanner:
             for i in range(0, len(parts), 1024):
                 some = parts[i : i + 1024]
                 np.maximum.at(scores, [k for k, _, _ in some], self.model.scores(np.stack([window(text, a, b) for _, a, b in some])))
-            kept = sorted((s, p) for s, p in zip(spans, scores.tolist(), strict=True) if s[1] < 3 or p >= self.model.threshold)
+            kept = sorted((s, p) for s, p in zip(spans, scores.tolist(), strict=True) if s[1] < 3 or p >= self.model.thresholds[kind_of(text, s[0], s[2])])
             out.append((base, [s for s, _ in kept], [p for _, p in kept]))
         return out
 

@@ -649,6 +649,40 @@ def test_secret_network_on_new_findings():
     assert decided[labels == 1].mean() >= 0.95 and decided[labels == 0].mean() <= 0.02
 
 
+def test_secret_scores_equal_a_plain_network():
+    """The convolution, pooling and calibration in plain loops, over every window of a candidate."""
+    model = secret_model()
+    texts = ["key: Zx9Qw8Er7Ty6Ui5Op1 end", "see v1/callback/alpha/beta/gamma/users/settings/sk_live_q7Yt3Zb9LmNc4Vx8Rk2P/profile/pages x", "internationalisation.of.everything", "+" * 70]
+    kernel = model.kernel.reshape(secrets.SPAN, secrets.N_CLASSES, secrets.FILTERS)
+
+    def plain(text, start, end):
+        line = text[max(0, start - secrets.LEFT) : start].rjust(secrets.LEFT, "\0") + text[start:end].ljust(secrets.BODY, "\0") + text[end : end + secrets.RIGHT].ljust(secrets.RIGHT, "\0")
+        classes = [0 if c == "\0" else secrets.CLASSES.index(c) + 2 if c in secrets.CLASSES else 1 for c in line]
+        steps = [[max(0.0, model.bias[f] + sum(kernel[k, classes[i + k], f] for k in range(secrets.SPAN))) for f in range(secrets.FILTERS)] for i in range(len(classes) - secrets.SPAN + 1)]
+        pooled = [max(s[f] for s in steps) for f in range(secrets.FILTERS)] + [sum(s[f] for s in steps) / len(steps) for f in range(secrets.FILTERS)]
+        return 1 / (1 + math.exp(-(model.slope * (sum(p * w for p, w in zip(pooled, model.dense, strict=True)) + model.offset) + model.shift)))
+
+    for text in texts:
+        ((start, end),) = secrets.candidates(text, [])
+        score = max(plain(text, a, min(b, end)) for a, b in secrets.stretches(start, end))
+        ((_, spans, scores),) = secrets.Scanner(model).scan([text])
+        found = score >= model.thresholds[secrets.kind_of(text, start, end)]
+        assert spans == ([(start, 3, end)] if found else []) and (not found or scores[0] == pytest.approx(score, rel=1e-3))
+
+
+def test_thresholds_follow_recall_alone():
+    rng = np.random.default_rng(3)
+    scores = rng.random(500)
+    at = secrets.recall_threshold(scores)
+    assert (scores >= at).mean() >= secrets.RECALL > (scores > at).mean() - 1e-9 and secrets.recall_threshold(np.zeros(0)) == 0.5
+    assert [secrets.kind_of("x" * 60, 0, a) for a in (49, 48)] == [0, 1] and secrets.kind_of("ab1", 0, 3) == 2
+    for generate, seed, n in ((secrets.generated_findings, 31, 3000), (secrets.long_findings, 32, 1200)):
+        rows, labels = generate(n, seed)
+        planted = [r for r, y in zip(rows, labels, strict=True) if y]
+        found = [any(a < e and s < b for a, _, b in spans) for (_, s, e), (_, spans, _) in zip(planted, secrets.Scanner(secret_model()).scan([r[0] for r in planted]), strict=True)]
+        assert np.mean(found) >= 0.96
+
+
 def test_secrets_are_masked(spark):
     docs = docs_of(spark, ['see token = "0123456789abcdef0123456789abcdef" and é', None, "clean"])
     got = [r["text"] for r in secrets.mask_secrets(docs, secret_model()).orderBy("doc_id").collect()]
