@@ -2,14 +2,17 @@
 from bad labelled texts, compress each block of a text; the normalised difference of the
 compressed sizes goes through a logistic calibration.
 
-Labels are learned from a bounded sample of labelled rows (DICTIONARY_DOCS texts a class
-and CALIBRATION_DOCS texts, chosen by a hash of the id); every text is scored whole, in
-blocks of BLOCK bytes, so that a dictionary weighs the same anywhere in a long text.
+Labels are learned from a bounded sample of labelled rows, chosen by a hash of the id: of
+DICTIONARY_DOCS texts a class at most DICTIONARY_BLOCKS blocks make a dictionary, and
+CALIBRATION_DOCS texts are measured whole by the executors, which return numbers. Every text
+is scored whole, in blocks of BLOCK bytes, so that a dictionary weighs the same anywhere in
+a long text.
 
 Defined results: null and empty texts have difference 0 and a mean compression, and get the
 calibrated score of that; without labels of both classes the score is the share of good labels (0.5 without
 any). A labelled id that occurs more than once counts once, with its smallest label and
-its smallest text.
+its smallest text; every row is scored by itself, repeated ones alike; an empty table gives
+an empty result.
 """
 
 from __future__ import annotations
@@ -22,11 +25,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from profilis.llm.common import crc_mod, small_batches
+from profilis.llm.common import crc_mod, cut, small_batches
 
 #: Labelled texts a class from which a dictionary is built, and texts for the calibration.
 DICTIONARY_DOCS, CALIBRATION_DOCS = 800, 3000
 DICTIONARY_BYTES, BLOCK, LEVEL = 1 << 16, 2048, 3
+#: Blocks a class, from anywhere in its texts, that come to the driver: 16 MB.
+DICTIONARY_BLOCKS = 1 << 13
 #: Bytes at which a text counts as half short.
 SHORT = 200
 
@@ -81,10 +86,9 @@ def blocks(text: str | None) -> list[bytes]:
     return [raw[i : i + BLOCK] for i in range(0, len(raw), BLOCK)]
 
 
-def build_dictionary(texts: list[str]) -> bytes:
+def build_dictionary(samples: list[bytes]) -> bytes:
     import zstandard
 
-    samples = [b for t in texts for b in blocks(t)]
     if not samples:
         return b""
     try:
@@ -120,21 +124,40 @@ def fit_quality(docs: DataFrame, labels: DataFrame, learnable: Column | None = N
         rows = known.where((part == 0) & which) if which is not None else known.where(part == 1)
         rows = rows.orderBy(turn, id_col).limit(n).select(id_col, "label", part.alias("part"))
         picked = rows if picked is None else picked.unionByName(rows)
-    # at most 2 * DICTIONARY_DOCS + CALIBRATION_DOCS rows
-    found = docs.select(id_col, text_col).join(F.broadcast(picked), id_col).groupBy(id_col, "label", "part").agg(F.min(text_col).alias(text_col))
-    rows = sorted(found.collect(), key=lambda r: str(r[id_col]))
-    texts = {k: [r[text_col] or "" for r in rows if r["part"] == 0 and r["label"] == k] for k in (0, 1)}
-    model = QualityModel(build_dictionary(texts[0]), build_dictionary(texts[1]), (0.0,) * 5, 0.0, 0.0)
-    held = [r for r in rows if r["part"] == 1] or rows
-    y = np.array([r["label"] for r in held], dtype=float)
-    if not len(y):
+    picked = F.broadcast(picked)  # at most 2 * DICTIONARY_DOCS + CALIBRATION_DOCS rows
+    found = cut(docs.select(id_col, text_col).join(picked, id_col).groupBy(id_col, "label", "part").agg(F.min(text_col).alias("text")).withColumnRenamed(id_col, "id"))
+    model = QualityModel(*(_dictionary_of(found, k) for k in (0, 1)), (0.0,) * 5, 0.0, 0.0)
+
+    def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = model.measures(batch.column(0).to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), *(pa.array(x[:, i]) for i in range(3))], names=["label", "part", "a", "b", "n"])
+
+    small_batches(docs.sparkSession)
+    rows = found.select("text", "label", F.col("part").cast("int")).mapInArrow(measured, "label int, part int, a double, b double, n double").collect()
+    held = sorted(r for r in rows if r["part"] == 1) or sorted(rows)
+    if not held:
         return model
-    x = model.measures([r[text_col] for r in held])
+    y, x = np.array([r["label"] for r in held], dtype=float), np.array([r[2:] for r in held])
     mean = float(x[:, 1].mean())
     weights, offset = fit_logistic(calibrated(x, mean), y)
     return QualityModel(model.bad, model.good, tuple(weights.tolist()), offset, mean)
 
 
+def _dictionary_of(found: DataFrame, label: int) -> bytes:
+    """A dictionary from blocks of a class's texts, chosen by a hash of text and place."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                raw = blocks(text)
+                yield pa.RecordBatch.from_arrays([pa.array([i] * len(raw), pa.string()), pa.array(range(len(raw)), pa.int64()), pa.array(raw, pa.binary())], names=["id", "n", "block"])
+
+    mine = found.where((F.col("part") == 0) & (F.col("label") == label)).select(F.col("id").cast("string"), "text")
+    some = mine.mapInArrow(run, "id string, n bigint, block binary").orderBy(F.xxhash64("id", "n"), "id", "n").limit(DICTIONARY_BLOCKS)
+    return build_dictionary([bytes(r["block"]) for r in sorted(some.collect(), key=lambda r: (r["id"], r["n"]))])
+
+
 def score_quality(docs: DataFrame, model: QualityModel, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """Adds ``score`` (0 to 1, higher: good likelier) and ``predicted``; no shuffle.
 

@@ -511,6 +511,57 @@ def test_quality_edges(spark):
     assert quality.score_quality(docs.limit(0), model).count() == 0
 
 
+def test_quality_equals_a_plain_version(spark, monkeypatch):
+    """The sample, the dictionaries, the compressed sizes and the calibration, step by step."""
+    import zstandard
+
+    rng = random.Random(21)
+    texts = [*sample_texts(120, 4), *(" ".join(rng.choice(["###", "%%%", "$$", "@!"]) for _ in range(rng.randint(1, 200))) for _ in range(120)), None, "", "x" * 5000]
+    labelled = {i: int(i < 120) for i in range(240) if i % 3}
+    docs, labels = docs_of(spark, texts), spark.createDataFrame(list(labelled.items()), "doc_id long, quality int")
+    model = quality.fit_quality(docs, labels)
+    turns = {r[0]: (r[1], r[2]) for r in labels.select("doc_id", F.xxhash64("doc_id", F.lit(7)), F.pmod(F.xxhash64("doc_id"), F.lit(2))).collect()}
+    sample = sorted(labelled, key=lambda i: (turns[i][0], i))  # all of them: the bounds lie above
+    ids = {k: sorted((i for i in sample if turns[i][1] == 0 and labelled[i] == k), key=str) for k in (0, 1)}
+    raw = {}
+    for k in (0, 1):
+        blocks = [t[a : a + 2048] for i in ids[k] if (t := (texts[i] or "").encode()) for a in range(0, len(t), 2048)]
+        try:
+            raw[k] = zstandard.train_dictionary(1 << 16, blocks).as_bytes()
+        except zstandard.ZstdError:
+            raw[k] = b"".join(blocks)[: 1 << 16]
+    assert (model.bad, model.good) == (raw[0], raw[1])
+    monkeypatch.setattr(quality, "DICTIONARY_BLOCKS", 5)
+    assert 0 < len(quality.fit_quality(docs, labels).good) <= 5 * 2048
+
+    def measures(text):
+        data = (text or "").encode()
+        sizes = [0, 0]
+        for k in (0, 1):
+            packer = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(raw[k]), write_content_size=False, write_dict_id=False)
+            sizes[k] = sum(len(packer.compress(data[a : a + 2048])) for a in range(0, len(data), 2048))
+        return ((sizes[0] - sizes[1]) / sum(sizes), math.log(sum(sizes) / (2 * len(data))), len(data)) if data else (0.0, None, 0)
+
+    calibration = [i for i in sample if turns[i][1] == 1]
+    mean = float(np.mean([m[1] for m in (measures(texts[i]) for i in calibration) if m[1] is not None]))
+
+    def row(text):
+        a, b, n = measures(text)
+        b = 0.0 if b is None else b - mean
+        short = 1 / (1 + n / quality.SHORT)
+        return [a, b, a * short, b * short, short, 1.0]
+
+    x, y = np.array([row(texts[i]) for i in calibration]), np.array([labelled[i] for i in calibration])
+    w = np.array([*model.weights, model.offset])
+    p = 1 / (1 + np.exp(-x @ w))
+    pull = np.array([1e-3] * 5 + [1e-9])
+    assert np.abs(x.T @ (y - p) - pull * w).max() < 1e-3  # the weights are where the penalised likelihood is flat
+    got = {r["doc_id"]: r for r in quality.score_quality(docs, model).collect()}
+    for i, t in enumerate(texts):
+        want = 1 / (1 + math.exp(-float(np.clip(np.dot(row(t), w), -30, 30))))
+        assert got[i]["score"] == pytest.approx(want, abs=1e-9) and got[i]["predicted"] == (want >= 0.5)
+
+
 # -- 7 -------------------------------------------------------------------------------
 def test_layouts_become_turns(spark):
     records = [
@@ -621,6 +672,18 @@ def test_top_k_is_exact(spark, monkeypatch, scale):
     assert topk.exact_top_k(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_top_k_tasks_are_pairs_of_partitions(spark, monkeypatch):
+    monkeypatch.setattr(topk, "QUERY_BYTES", 300)
+    df = spark.range(400).select(F.col("id").alias("vec_id"), F.array(F.col("id") % 7 / 8.0, F.col("id") % 11 / 16.0).alias("embedding"), F.lit(1).alias("queries")).repartition(5)
+    found = topk.exact_top_k(df, F.col("vec_id") % 50 == 0, k=3)
+    plan = found._jdf.queryExecution().toString()
+    assert "SortMergeJoin" not in plan and ("CartesianProduct" in plan or "BroadcastNestedLoopJoin" in plan)
+    vectors = {i: (256 * (i % 7) // 8, 256 * (i % 11) // 16) for i in range(400)}
+    for q in range(0, 400, 50):
+        best = sorted((-(vectors[q][0] * v[0] + vectors[q][1] * v[1]), i) for i, v in vectors.items() if i != q)[:3]
+        assert [(r["vec_id"], -r["score"]) for r in found.where(F.col("query_id") == q).orderBy("rank").collect()] == [(i, s) for s, i in best]
+
+
 # -- 10 ------------------------------------------------------------------------------
 def test_secret_base_spans(spark):
     texts = [
