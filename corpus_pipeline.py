@@ -1,13 +1,15 @@
 """A cleaning pipeline over documents: each stage works on all that the one before kept.
 
 1. quality: texts that the compression classifier rejects go
-2. near_duplicates: of each group of near duplicates the document with the least id stays
+2. near_duplicates: of each group of near duplicates (five-word shingles, a similarity of 0.8
+   or more) the document with the least id stays
 3. decontamination: documents that hold a benchmark item, even with a few edits, go
 4. secrets: findings are masked in the texts, and n_chars follows
-5. encoding: SentencePiece ids of what is left, as digests
+5. encoding: SentencePiece ids of what is left, with their digests, beside all other columns
 
-Stages 1 to 4 return the columns they were given. Rows with a null id are never near
-duplicates, null texts are empty, and an empty table gives an empty result.
+Stages 1 to 4 return the columns they were given, whatever else these hold. Rows with a null
+id are never near duplicates; null texts are empty and stay null; of rows that repeat an id
+one stays, that of the least text; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -31,10 +33,19 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return classifier.keep_good(docs, model)
 
 
+#: Common shingles, in percent, from which on documents are near duplicates.
+SIMILAR = 80
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = minhash.near_duplicates(docs)
-    gone = cut(found.where("not kept and doc_id is not null").select("doc_id").distinct())
-    return by_ids(docs, gone, "doc_id", "left_anti").select(*docs.columns)
+    found = cut(minhash.near_duplicates(docs, SIMILAR).where("doc_id is not null").groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count("*").alias("n")))
+    left = by_ids(docs, found.where("not kept").select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
+    repeated = found.where("kept and n > 1").select("doc_id")
+    if repeated.isEmpty():
+        return left
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    once = by_ids(left, repeated, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(row, F.struct(F.coalesce("text", F.lit("")), F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))).alias("row"))
+    return by_ids(left, repeated, "doc_id", "left_anti").select(*docs.columns).unionByName(once.select("row.*"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,7 +58,8 @@ def mask(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return encode_documents(docs, PIECE_MODEL)
+    made = ("text", "n_tokens", "ids", "ids_sha256", "decoded_sha256")
+    return encode_documents(docs, PIECE_MODEL, keep_ids=True, keep=[c for c in docs.columns if c not in made])
 
 
 STAGES: list[tuple[str, Stage]] = [
