@@ -7,9 +7,10 @@ signature; classes that agree in a whole band of it share a bucket.
 Links are found in two steps, so that a bucket of m classes never gives m * m rows:
 1. each class is held against its bucket's least one: signatures first, then the full
    sets; verified links are joined to components;
-2. in buckets that still hold more than one component, tiles of at most 2 * CHUNK classes
-   compare all pairs of different components (signatures, then full sets) and give out a
-   spanning forest only. Every pair of a bucket meets in some tile, so no link is lost.
+2. in buckets that still hold more than one component, the classes outside the largest one
+   are held against all others in tiles of at most 2 * CHUNK classes (signatures, then full
+   sets), which give out a spanning forest only. Every pair of a bucket that lies in
+   different components meets in some tile, so no link is lost.
 
 The number of bands follows the threshold, so that a pair exactly at it shares no bucket
 with a chance of MISS at most (25 bands of ROWS minima at 0.85, 37 at 0.80); a signature
@@ -42,6 +43,8 @@ MISS = 5e-7
 #: Share of equal minima by which a pair may stay below the threshold: five standard deviations.
 LOOSE = 0.16
 CHUNK = 256
+#: Bytes of full sets that a chunk may hold, about.
+CHUNK_BYTES = 24 << 20
 #: Bytes that a worker's kept token hashes may take, about.
 CACHE_BYTES = 24 << 20
 #: Words that are hashed at a time.
@@ -299,14 +302,25 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
 
 
 def _between(members: DataFrame, first: DataFrame, signs: DataFrame, sets: DataFrame, percent: int, id_type: str) -> DataFrame:
-    """Links between components that share a bucket."""
-    placed = cut(members.where("size > 2").select("band", "id", "size").join(first, "id", "left").withColumn("component", F.coalesce("component", "id")))
-    mixed = placed.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("sum"), F.first("size").alias("n"))
+    """Links between components that share a bucket.
+
+    A pair inside one component needs no look, so the classes outside a bucket's largest
+    component are held against all others of the bucket, in tiles of a chunk against a chunk.
+    """
+    placed = members.where("size > 2").select("band", "id", "n").join(first, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    placed = cut(placed)
+    own = placed.groupBy("band", "component").agg(F.count("*").alias("c"), F.sum("n").alias("items"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("sum"))
+    most = F.max(F.struct("c", "component", "items"))
+    mixed = own.groupBy("band").agg(most.alias("most"), F.count("*").alias("parts"), F.sum("c").alias("all"), F.sum("items").alias("all_items"), F.sum("sum").alias("sum")).where("parts > 1")
     # buckets with the same members need one look
-    once = mixed.where("low <> high").groupBy("sum", "n").agg(F.min("band").alias("band")).select("band")
-    chunks = F.ceil(F.col("size") / CHUNK).cast("int")
-    chunk = F.pmod(F.xxhash64("id", F.lit(1)), chunks).cast("int")
-    dealt = placed.join(once, "band").withColumn("chunk", chunk).withColumn("other", F.explode(F.sequence(F.lit(0), chunks - 1)))
+    once = mixed.groupBy("sum", "all").agg(F.min_by(F.struct("band", "most", "all_items"), "band").alias("b")).select("b.*", "all")
+    lots = lambda rows, items: F.greatest(F.lit(1), F.ceil(rows / CHUNK), F.ceil(items * 8 / CHUNK_BYTES)).cast("int")
+    once = once.select("band", F.col("most.component").alias("large"), lots(F.col("all") - F.col("most.c"), F.col("all_items") - F.col("most.items")).alias("few"), lots(F.col("most.c"), F.col("most.items")).alias("many"))
+    dealt = placed.join(once, "band").withColumn("rest", F.col("component") != F.col("large"))
+    dealt = dealt.withColumn("chunk", F.pmod(F.xxhash64("id", F.lit(1)), F.when(F.col("rest"), F.col("few")).otherwise(F.col("many"))).cast("int"))
+    # chunks of the rest are numbered first, those of the large component after them
+    other = F.sequence(F.lit(0), F.col("few") - 1 + F.when(F.col("rest"), F.col("many")).otherwise(0))
+    dealt = dealt.withColumn("chunk", F.when(F.col("rest"), F.col("chunk")).otherwise(F.col("chunk") + F.col("few"))).withColumn("other", F.explode(other))
     dealt = dealt.withColumn("low", F.least("chunk", "other")).withColumn("high", F.greatest("chunk", "other"))
     full = dealt.select("band", "low", "high", "id", "component").join(signs, "id").join(sets, "id").select("band", "low", "high", "id", "component", "sign", "items")
     return full.groupBy("band", "low", "high").applyInArrow(_tile(percent, arrow_kind(members, "id")), f"u {id_type}, v {id_type}")
