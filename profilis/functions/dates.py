@@ -58,11 +58,17 @@ def delta_bucket(seconds: Column) -> Column:
         .when(seconds <= 5, "T_0-5s")
         .when(seconds <= 30, "T_5-30s")
         .when(seconds <= 120, "T_30s-2m")
-        .when(seconds <= 600, "T_2-10m")
-        .when(seconds <= 1800, "T_10-30m")
+        .when(seconds <= 600, "T_2m-10m")
+        .when(seconds <= 1800, "T_10m-30m")
         .otherwise("T_30m+")
     )
 
 
 def age_bucket(days: Column) -> Column:
-    return F.when(days <= 1, "D_1").when(days <= 7, "D_7").when(days <= 30, "D_30").when(days <= 180, "D_180").otherwise("D_180+")
+    """Class of an event's age in days."""
+    return F.when(days <= 1, "D_0-1").when(days <= 7, "D_1-7").when(days <= 30, "D_7-30").when(days <= 180, "D_30-180").otherwise("D_180+")
+
+
+def recency_bucket(days: Column) -> Column:
+    """A coarser class of days since something."""
+    return F.when(days <= 3, "R_0-3d").when(days <= 7, "R_3-7d").when(days <= 30, "R_7-30d").otherwise("R_30+d")

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from profilis.functions.text import SECTIONS, insert_before_end, is_failure
+from profilis.functions.text import END, MARKS, SECTIONS, is_failure, stripped, truncated_sequence, word_hash
 from profilis.runtime import ship
 
 FALLBACK = "## OVERVIEW ##\nNo activity recorded.\n[END]"
@@ -17,9 +17,21 @@ FALLBACK = "## OVERVIEW ##\nNo activity recorded.\n[END]"
 
 def fuse_portraits(profiles: DataFrame, portraits: DataFrame, key: str = "client_id") -> DataFrame:
     """Profiles (key, text) with a portrait section where a client has a sound one."""
-    good = portraits.where(~is_failure(F.col("portrait")))
-    block = F.concat(F.lit("## PORTRAIT ##\n"), F.col("portrait"))
-    return profiles.join(good, key, "left").select(key, F.when(F.col("portrait").isNotNull(), insert_before_end(F.col("text"), block)).otherwise(F.col("text")).alias("text"))
+    good = portraits.where(~is_failure(F.col("portrait"))).select(key, "portrait")
+    block = F.concat(F.lit("\n## PORTRAIT ##\n"), stripped(F.col("portrait")), F.lit("\n"))
+    return profiles.join(good, key, "left").select(key, F.when(F.col("portrait").isNotNull(), before_end(F.col("text"), block)).otherwise(F.col("text")).alias("text"))
+
+
+def before_end(text: Column, block: Column) -> Column:
+    """A block before every end mark, or at the end of a text without one."""
+    return F.when(F.contains(text, F.lit(END)), F.replace(text, F.lit(END), F.concat(block, F.lit(END)))).otherwise(F.concat(text, block))
+
+
+def with_sequence_section(text: Column, raw: Column, most: int = 1000) -> Column:
+    """A text without a raw sequence section gets one, fenced, before its end mark."""
+    block = F.concat(F.lit("\n## RAW_SEQUENCE ##\n```\n"), truncated_sequence(raw, most), F.lit("\n```"))
+    added = F.when(F.contains(text, F.lit(END)), before_end(text, F.concat(block, F.lit("\n")))).otherwise(F.concat(text, block))
+    return F.when(F.contains(text, F.lit("## RAW_SEQUENCE ##")), text).otherwise(added)
 
 
 def with_fallbacks(profiles: DataFrame, ids: DataFrame, text: str = FALLBACK, key: str = "client_id") -> DataFrame:
@@ -54,9 +66,11 @@ def without(rows: DataFrame, done: DataFrame, key: str) -> DataFrame:
 
 
 def sampled(rows: DataFrame, key: str, one_in: int, most: int | None = None, seed: int = 42) -> DataFrame:
-    """A sample that repeats: keys whose hash falls into one class of ``one_in``."""
-    picked = rows.where(F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(one_in)) == 0)
-    return picked if most is None else picked.orderBy(F.xxhash64(key, F.lit(seed)), key).limit(most)
+    """A sample that repeats: keys whose hash falls into one class of ``one_in``, and of these
+    the ``most`` with the least hashes."""
+    turn = word_hash(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed))))
+    picked = rows.where(turn % one_in == 0)
+    return picked if most is None else picked.orderBy(turn, key).limit(most)
 
 
 def integrity(rows: DataFrame, key: str, text: str) -> DataFrame:
@@ -68,24 +82,63 @@ def integrity(rows: DataFrame, key: str, text: str) -> DataFrame:
     )
 
 
-def status_report(rows: DataFrame, text: str, marks: list[str] | None = None) -> DataFrame:
-    """How many texts hold each section."""
-    names = marks or SECTIONS
-    there = F.explode(F.array(*[F.struct(F.lit(s).alias("section"), F.contains(F.col(text), F.lit(f"## {s} ##")).alias("has")) for s in names]))
-    return rows.select(there.alias("s")).groupBy("s.section").agg(F.count_if("s.has").alias("n_with"), F.count("*").alias("n_texts"))
+def status_report(rows: DataFrame, text: str) -> DataFrame:
+    """How many texts hold each section and each mark, and the lines from each section to the end of its text."""
+    t = F.col(text)
+    entry = lambda kind, name, mark: F.struct(F.lit(kind).alias("kind"), F.lit(name).alias("name"), F.lit(mark).alias("mark"))
+    parts = [entry("section", s, f"## {s} ##") for s in SECTIONS] + [entry("mark", m, m) for m in [*MARKS.values(), END]]
+    each = rows.select(t.alias("t"), F.explode(F.array(*parts)).alias("p")).select("p.*", F.position("p.mark", "t").alias("at"), "t")
+    after = F.when(F.col("kind") == "section", F.length("t") - F.length(F.replace(F.substr("t", F.col("at")), F.lit("\n"), F.lit(""))) - F.col("at") + 1)
+    return each.groupBy("kind", "name").agg(F.count_if(F.col("at") > 0).alias("n_with"), F.count("*").alias("n_texts"), F.sum(F.when(F.col("at") > 0, after)).alias("n_lines"))
 
 
-def no_activity_profile(key: Column) -> Column:
-    return F.struct(key.alias("client_id"), F.lit("no_data").alias("status"), F.lit(FALLBACK).alias("rich_text"))
+# What stands for windows of time without events.
+NO_RECENT, NO_MEDIUM, NO_OLD = "No recent activity.", "No medium-term activity.", "No historical activity."
+#: Extractors whose lines aren't features of a record.
+APART = ("overview", "co_pairs", "category_pairs", "cart_conversion", "recent", "medium", "historical")
 
 
-def profile_json(profiles: DataFrame, key: str = "client_id", n_features: int = 100, n_text: int = 500, n_raw: int = 1000) -> DataFrame:
-    """Profiles (features array, rich_text, raw_sequence) as JSON with bounded previews."""
-    doc = F.struct(
-        F.col(key), F.lit("success").alias("status"), F.slice("features", 1, n_features).alias("features"), F.substring("rich_text", 1, n_text).alias("text_preview"),
-        F.substring("raw_sequence", 1, n_raw).alias("raw_sequence"),
+def profile_records(profiles: DataFrame, clients: DataFrame, key: str = "client_id", n_features: int = 100, n_text: int = 500, n_raw: int = 1000) -> DataFrame:
+    """status, profile (JSON with bounded previews), rich_text and json_str of each listed client.
+
+    profiles: key, lines, segments, recent, medium, old, raw_sequence, rich_text; a client that
+    has none gets the fixed record of clients without activity.
+    """
+    of = lambda name: F.slice(F.transform(F.filter("lines", lambda x: x["extractor"] == name), lambda x: x["line"]), 1, 5)
+    features = F.transform(F.filter("lines", lambda x: ~x["extractor"].isin(*APART)), lambda x: F.struct(x["extractor"].alias("type"), x["line"].alias("value")))
+    shown = F.filter("segments", lambda s: ~s.isin("buyers", "non_buyers"))
+    cut = lambda c, default: F.substring(F.coalesce(c, F.lit(default)), 1, n_text)
+    record = F.struct(
+        F.col(key).alias("client_id"), F.struct(F.when(F.array_contains("segments", "buyers"), "buyer").otherwise("browser").alias("user_type"), shown.alias("segments")).alias("overview"), F.slice(features, 1, n_features).alias("features"),
+        F.struct(of("co_pairs").alias("co_pairs"), of("category_pairs").alias("category_pairs"), of("cart_conversion").alias("cart_conversion")).alias("behavioral_metrics"),
+        cut("recent", NO_RECENT).alias("recent_activity"), cut("medium", NO_MEDIUM).alias("medium_term_summary"), cut("old", NO_OLD).alias("historical_aggregates"), F.substring(F.coalesce("raw_sequence", F.lit("")), 1, n_raw).alias("raw_sequence"),
     )
-    return profiles.select(key, F.to_json(doc).alias("profile"))
+    known = F.col("lines").isNotNull()
+    none = failed_profile(F.col(key), F.lit("No activity"))
+    rows = clients.select(key).join(profiles, key, "left").select(key, known.alias("__known"), "rich_text", record.alias("__record"))
+    there = F.col("__known")
+    whole = F.to_json(F.struct(F.col("__record").alias("profile"), F.col("rich_text")))
+    return rows.select(
+        key, F.when(there, "success").otherwise("no_data").alias("status"), F.when(there, F.to_json("__record")).otherwise(F.to_json(none)).alias("profile"),
+        F.when(there, F.col("rich_text")).otherwise(no_activity_text(F.col(key))).alias("rich_text"), F.when(there, whole).otherwise(F.to_json(F.struct(none.alias("profile")))).alias("json_str"),
+    )
+
+
+def no_activity_text(key: Column) -> Column:
+    return F.concat(F.lit("[CLIENT_"), key.cast("string"), F.lit("]\nNo activity data."))
+
+
+def failed_profile(key: Column, error: Column) -> Column:
+    return F.struct(key.alias("client_id"), F.substring(error, 1, 500).alias("error"))
+
+
+def error_records(failures: DataFrame, key: str = "client_id", error: str = "error", whole_batch: bool = False) -> DataFrame:
+    """Records of clients whose profile failed (key, error); of a failed batch only status and error are known."""
+    e = F.col(error)
+    if whole_batch:
+        return failures.select(key, F.lit("batch_error").alias("status"), F.substring(e, 1, 500).alias("error"))
+    own = failed_profile(F.col(key), e)
+    return failures.select(key, F.lit("error").alias("status"), F.to_json(own).alias("profile"), F.concat(F.lit("ERROR: "), F.substring(e, 1, 200)).alias("rich_text"), F.to_json(own).alias("json_str"))
 
 
 def variants(rows: DataFrame, text: str, augment: dict[str, Column]) -> DataFrame:
@@ -156,7 +209,8 @@ def encoded(rows: DataFrame, key: str, text: str, encoder: Callable[[list[str]],
 
 
 def generated(rows: DataFrame, key: str, text: str, generator: Callable[[list[str]], list[str]]) -> DataFrame:
-    """Portraits from a pluggable batch generator; failures become marked texts."""
+    """Portraits from a pluggable batch generator; a batch that lacks memory is tried in halves,
+    and what fails becomes a text that says so."""
     ship(rows.sparkSession)
     kind = rows.schema[key].dataType.simpleString()
 
@@ -165,8 +219,15 @@ def generated(rows: DataFrame, key: str, text: str, generator: Callable[[list[st
             texts = [t or "" for t in batch.column(1).to_pylist()]
             try:
                 out = list(generator(texts))
+            except MemoryError:  # half of it at a time may do
+                out, step = [], max(1, len(texts) // 2)
+                for i in range(0, len(texts), step):
+                    try:
+                        out += list(generator(texts[i : i + step]))
+                    except Exception as e:  # noqa: BLE001
+                        out += [f"- OOM ({type(e).__name__}) — FIN —"] * len(texts[i : i + step])
             except Exception as e:  # noqa: BLE001
-                out = [f"[ERROR] {e}"] * len(texts)
+                out = [f"- ERR : {str(e)[:50]} — FIN —"] * len(texts)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], names=[key, "portrait"])
 
     return rows.select(key, text).mapInArrow(run, f"{key} {kind}, portrait string")

@@ -8,15 +8,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from profilis.conf import CONF, EngineConf
 from profilis.functions.dates import days_between
 from profilis.functions.stats import r6
-from profilis.functions.text import insert_before_end
+from profilis.functions.text import word_hash
 from profilis.operators import activity, metrics, pairs, price, propensity, sequence, sessions
+from profilis.operators.dataset import with_sequence_section
 
 Extractor = Callable[[DataFrame, EngineConf], DataFrame]
 EXTRACTORS: dict[str, Extractor] = {}
@@ -86,11 +86,9 @@ def _cyclic(events: DataFrame, conf: EngineConf) -> DataFrame:
 def wide_features(events: DataFrame, conf: EngineConf = CONF, names: list[str] | None = None) -> DataFrame:
     """One row per client with the columns of all extractors, each prefixed by its name.
 
-    Events are dealt by client once and kept (memory, then disk; lost blocks are made again),
-    since every extractor reads them; all group and join by client, so Spark needs no further
-    exchange of them.
+    Every extractor reads only the columns it needs and groups by client, so what is shuffled
+    are its columns or its partial sums; nothing is stored between them.
     """
-    events = events.repartition("client_id").persist(StorageLevel.MEMORY_AND_DISK)
     out = events.select("client_id").distinct()
     for name in names or EXTRACTORS:
         part = EXTRACTORS[name](events, conf)
@@ -115,22 +113,20 @@ def restricted_to(events: DataFrame, clients: DataFrame) -> DataFrame:
 def rare_as_null(events: DataFrame, item: str, top: int) -> DataFrame:
     """Items outside the ``top`` most frequent ones become null."""
     best = events.where(F.col(item).isNotNull()).groupBy(item).agg(F.count("*").alias("n")).orderBy(F.desc("n"), item).limit(top).select(item, F.lit(True).alias("__top"))
-    return events.join(F.broadcast(best), item, "left").withColumn(item, F.when(F.col("__top"), F.col(item))).drop("__top")
+    return events.join(best, item, "left").withColumn(item, F.when(F.col("__top"), F.col(item))).drop("__top")
 
 
 def url_sku_edges(events: DataFrame, gap_s: int = CONF.session_gap_s) -> DataFrame:
     """Pages and skus of one session as weighted edges U_page, S_sku."""
     s = sessions.sessionize(events, gap_s)
-    urls = s.where("event_type = 'page_visit' and url is not null").select("client_id", "session_id", F.concat(F.lit("U_"), F.xxhash64("url").cast("string")).alias("src")).distinct()
+    urls = s.where("event_type = 'page_visit' and url is not null").select("client_id", "session_id", F.concat(F.lit("U_"), word_hash(F.col("url"), 15).cast("string")).alias("src")).distinct()
     skus = s.where("sku is not null and event_type <> 'page_visit'").select("client_id", "session_id", F.concat(F.lit("S_"), F.col("sku").cast("string")).alias("dst")).distinct()
     return urls.join(skus, ["client_id", "session_id"]).groupBy("src", "dst").agg(F.count("*").alias("w"))
 
 
-def with_raw_sequences(texts: DataFrame, sequences: DataFrame, key: str = "client_id") -> DataFrame:
+def with_raw_sequences(texts: DataFrame, sequences: DataFrame, key: str = "client_id", most: int = 1000) -> DataFrame:
     """Texts (key, text) without a raw sequence section get one before the end mark."""
-    block = F.concat(F.lit("## RAW_SEQUENCE ##\n```\n"), F.col("raw_sequence"), F.lit("\n```"))
-    lacks = ~F.contains(F.col("text"), F.lit("## RAW_SEQUENCE ##")) & F.col("raw_sequence").isNotNull()
-    return texts.join(sequences, key, "left").select(key, F.when(lacks, insert_before_end(F.col("text"), block)).otherwise(F.col("text")).alias("text"))
+    return texts.join(sequences, key, "left").select(key, with_sequence_section(F.col("text"), F.col("raw_sequence"), most).alias("text"))
 
 
 def sequences_of(events: DataFrame, conf: EngineConf = CONF, k: int = 100) -> DataFrame:

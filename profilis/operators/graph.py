@@ -7,57 +7,89 @@ import tempfile
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from profilis.functions.stats import r6
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the session's spark.checkpoint.dir (a temporary one only where unset)."""
+    """A reliable checkpoint in the session's spark.checkpoint.dir; a temporary one in local mode
+    only, as a folder of one machine would be lost with it."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="profilis-"))
+        where = context.getConf().get("spark.checkpoint.dir", None)
+        if not where and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(where or tempfile.mkdtemp(prefix="profilis-"))
     return df.checkpoint(eager=True)
 
 
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """A checkpoint dealt by keys (as it comes without any) that Spark knows to be dealt so; joins
+    by these keys exchange only the other side. An adaptive plan would leave that unsaid, so
+    this one job is planned without."""
+    conf = df.sparkSession.conf
+    before = conf.get("spark.sql.adaptive.enabled")
+    conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        return cut(df.repartition(int(conf.get("spark.sql.shuffle.partitions")), *keys) if keys else df)
+    finally:
+        conf.set("spark.sql.adaptive.enabled", before)
+
+
 def weighted_edges(edges: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     """Without self-loops, weights of parallel edges added up."""
     return edges.where("src <> dst").groupBy(*keys, "src", "dst").agg(F.sum("w").alias("w"))
 
 
-def pagerank(edges: DataFrame, rounds: int = 10, damping: float = 0.85, keys: tuple[str, ...] = (), every: int = 5) -> DataFrame:
-    """Weighted PageRank after a fixed number of rounds, for all graphs (keys) at once.
+def pagerank(edges: DataFrame, rounds: int = 10, damping: float = 0.85, keys: tuple[str, ...] = (), every: int = 20, tolerance: float | None = None, digits: int = 6) -> DataFrame:
+    """Weighted PageRank for all graphs (keys) at once.
 
-    Mass of nodes without out-edges is not dealt out again. Lineage is cut every few rounds.
+    With a tolerance, rounds end once no graph's ranks moved further than that (Euclidean
+    distance), else after a fixed number. Mass of nodes without out-edges is not dealt out
+    again. Lineage is cut every few rounds, when the distance is looked at too. Links are dealt
+    by source and nodes by themselves once, so that a round exchanges only what is sent.
     """
     k = list(keys)
     e = weighted_edges(edges, keys)
     total = e.groupBy(*k, "src").agg(F.sum("w").alias("out"))
-    links = cut(e.join(total, [*k, "src"]).select(*k, "src", "dst", (F.col("w") / F.col("out")).alias("p")))
+    links = dealt(e.join(total, [*k, "src"]).select(*k, "src", "dst", (F.col("w") / F.col("out")).alias("p")), *k, "src")
     nodes = links.select(*k, F.col("src").alias("node")).union(links.select(*k, F.col("dst").alias("node"))).distinct()
     sizes = nodes.groupBy(*k).agg(F.count("*").alias("n"))
-    nodes = cut(nodes.join(sizes, k) if k else nodes.join(F.broadcast(sizes)))
+    nodes = dealt(nodes.join(sizes, k) if k else nodes.join(F.broadcast(sizes)), *k, "node")  # sizes of no keys: one row
     rank = nodes.select(*k, "node", "n", (F.lit(1.0) / F.col("n")).alias("rank"))
     for i in range(rounds):
         sent = links.join(rank.withColumnRenamed("node", "src"), [*k, "src"]).groupBy(*k, "dst").agg(F.sum(F.col("rank") * F.col("p")).alias("got"))
         got = sent.withColumnRenamed("dst", "node")
+        before = rank
         rank = nodes.join(got, [*k, "node"], "left").select(*k, "node", "n", ((1 - damping) / F.col("n") + damping * F.coalesce("got", F.lit(0.0))).alias("rank"))
         if i % every == every - 1 and i < rounds - 1:
-            rank = cut(rank)
-    return rank.select(*k, "node", r6(F.col("rank")).alias("pagerank"))
+            rank = dealt(rank)
+            if tolerance is not None:
+                moved = rank.join(before.select(*k, "node", F.col("rank").alias("old")), [*k, "node"]).groupBy(*k).agg(F.sqrt(F.sum(F.pow(F.col("rank") - F.col("old"), 2))).alias("d"))
+                if (moved.agg(F.max("d")).first()[0] or 0.0) <= tolerance:
+                    break
+    return rank.select(*k, "node", F.round("rank", digits).alias("pagerank"))
 
 
-def clustering_coefficient(edges: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
-    """Local clustering of each node of the undirected graph: triangles over pairs of neighbours."""
+def clustering_coefficient(edges: DataFrame, keys: tuple[str, ...] = (), digits: int = 6) -> DataFrame:
+    """Local clustering of each node of the undirected graph: triangles over pairs of neighbours.
+
+    Edges point from the lesser to the greater degree, so that a hub starts few wedges: no node
+    has more than about sqrt(2 * edges) edges that leave it.
+    """
     k = list(keys)
     e = edges.where("src <> dst").select(*k, F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()
     ends = e.select(*k, F.explode(F.array("a", "b")).alias("node"))
     degree = ends.groupBy(*k, "node").agg(F.count("*").alias("degree"))
+    of = lambda x: degree.select(*k, F.col("node").alias(x), F.col("degree").alias(f"d{x}"))
+    near, far = F.struct("da", "a"), F.struct("db", "b")
+    e = e.join(of("a"), [*k, "a"]).join(of("b"), [*k, "b"]).select(*k, F.when(near < far, F.col("a")).otherwise(F.col("b")).alias("a"), F.when(near < far, F.col("b")).otherwise(F.col("a")).alias("b"))
     ab = e
-    bc = e.select(*k, F.col("a").alias("b"), F.col("b").alias("c"))
-    ac = e.select(*k, "a", F.col("b").alias("c"))
-    triangles = ab.join(bc, [*k, "b"]).join(ac, [*k, "a", "c"]).select(*k, F.explode(F.array("a", "b", "c")).alias("node")).groupBy(*k, "node").agg(F.count("*").alias("t"))
+    other = e.select(*k, "a", F.col("b").alias("c"))
+    wedges = ab.join(other, [*k, "a"]).where("b < c")
+    across = e.select(*k, F.least("a", "b").alias("b"), F.greatest("a", "b").alias("c"))
+    triangles = wedges.join(across, [*k, "b", "c"]).select(*k, F.explode(F.array("a", "b", "c")).alias("node")).groupBy(*k, "node").agg(F.count("*").alias("t"))
     pairs = F.col("degree") * (F.col("degree") - 1) / 2
     t = F.coalesce("t", F.lit(0))
-    return degree.join(triangles, [*k, "node"], "left").select(*k, "node", "degree", t.alias("triangles"), r6(F.when(pairs > 0, t / pairs).otherwise(0.0)).alias("clustering"))
+    return degree.join(triangles, [*k, "node"], "left").select(*k, "node", "degree", t.alias("triangles"), F.round(F.when(pairs > 0, t / pairs).otherwise(0.0), digits).alias("clustering"))
 
 
 def random_walks(edges: DataFrame, per_node: int = 10, steps: int = 10, seed: int = 42) -> DataFrame:

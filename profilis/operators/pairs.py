@@ -16,41 +16,61 @@ def session_pairs(events: DataFrame, item: str, gap_s: int, kinds: tuple[str, ..
 
     The cap is part of the operator: it bounds pairs per session to cap * (cap - 1) / 2.
     """
-    e = events.where(F.col("event_type").isin(*kinds) & F.col(item).isNotNull()).select("client_id", "timestamp", "event_id", F.col(item).alias("item"))
-    items = sessionize(e, gap_s).groupBy("client_id", "session_id").agg(F.slice(F.array_sort(F.collect_set("item")), 1, cap).alias("items"))
+    e = events.where(F.col("event_type").isin(*kinds) & F.col(item).isNotNull()).select("client_id", "timestamp", "event_id", item)
+    return pairs_of_sessions(sessionize(e, gap_s), item, cap)
+
+
+def pairs_of_sessions(events: DataFrame, item: str, cap: int = 20) -> DataFrame:
+    """The same for events that have a session_id."""
+    least = top_k(events.select("client_id", "session_id", F.col(item).alias("item")).distinct(), ["client_id", "session_id"], [F.asc("item")], cap)
+    items = least.groupBy("client_id", "session_id").agg(F.array_sort(F.collect_list("item")).alias("items"))
     at = items.where(F.size("items") > 1).select("client_id", "session_id", "items", F.posexplode("items").alias("pos", "i"))
     return at.select("client_id", "session_id", "i", F.explode(F.slice("items", F.col("pos") + 2, cap)).alias("j"))
 
 
+def central_edges(events: DataFrame, popularity: DataFrame, gap_s: int, top: int = 2000, least: int = 100) -> DataFrame:
+    """Skus of one session among the ``top`` most popular ones, as weighted edges from the lesser to the greater id.
+
+    Skus without any score take part only if fewer than ``least`` have one. No session gives
+    more than top * (top - 1) / 2 pairs.
+    """
+    scored = popularity.where("score > 0")
+    pool = scored if scored.limit(least).count() == least else popularity
+    best = pool.orderBy(F.desc("score"), "sku").limit(top).select("sku")  # at most ``top`` rows
+    e = sessionize(events.join(F.broadcast(best), "sku", "left_semi").select("client_id", "timestamp", "event_id", "sku"), gap_s)
+    return pairs_of_sessions(e, "sku", top).groupBy(F.col("i").alias("src"), F.col("j").alias("dst")).agg(F.count("*").alias("w"))
+
+
 def top_co_pairs(pairs: DataFrame, k: int = 5, least: int = 1) -> DataFrame:
     """Each client's most frequent pairs."""
     counts = pairs.groupBy("client_id", "i", "j").agg(F.count("*").alias("n")).where(F.col("n") >= least)
     return top_k(counts, ["client_id"], [F.desc("n"), F.asc("i"), F.asc("j")], k)
 
 
-def global_co_pairs(events: DataFrame, item: str, gap_s: int, kinds: tuple[str, ...], top_items: int, k: int, cap: int = 20) -> DataFrame:
-    """The k most frequent pairs among the most frequent items, over all clients."""
+def global_co_pairs(events: DataFrame, item: str, gap_s: int, kinds: tuple[str, ...], top_items: int, k: int, cap: int = 20, clients: DataFrame | None = None) -> DataFrame:
+    """The k most frequent pairs among the most frequent items, over all clients or listed ones."""
     e = events.where(F.col("event_type").isin(*kinds) & F.col(item).isNotNull())
-    popular = e.groupBy(item).agg(F.count("*").alias("n")).orderBy(F.desc("n"), item).limit(top_items).select(item)
-    pairs = session_pairs(e.join(F.broadcast(popular), item, "left_semi"), item, gap_s, kinds, cap)
+    popular = e.groupBy(item).agg(F.count("*").alias("n")).orderBy(F.desc("n"), item).limit(top_items).select(item)  # at most top_items rows
+    e = e if clients is None else e.join(clients.select("client_id"), "client_id", "left_semi")
+    pairs = session_pairs(e.join(popular, item, "left_semi"), item, gap_s, kinds, cap)
     return pairs.groupBy("i", "j").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "i", "j").limit(k)
 
 
 def client_global_pairs(events: DataFrame, pairs: DataFrame, item: str) -> DataFrame:
     """Global pairs (a short list) of which a client touched both members."""
     touched = events.where(F.col(item).isNotNull()).select("client_id", F.col(item).alias("i")).distinct()
-    one = touched.join(F.broadcast(pairs), "i")
+    one = touched.join(pairs, "i")
     return one.join(touched.withColumnRenamed("i", "j"), ["client_id", "j"], "left_semi").select("client_id", "i", "j", "n")
 
 
-def pair_graph_stats(pairs: DataFrame, least_nodes: int = 2) -> DataFrame:
+def pair_graph_stats(pairs: DataFrame, least_nodes: int = 2, digits: int = 6) -> DataFrame:
     """Per client: nodes, edges, density with a tag, and the node of highest degree."""
     edges = pairs.groupBy("client_id", "i", "j").agg(F.count("*").alias("w"))
     ends = edges.select("client_id", F.explode(F.array("i", "j")).alias("node"))
     degree = ends.groupBy("client_id", "node").agg(F.count("*").alias("degree"))
     per = degree.groupBy("client_id").agg(F.count("*").alias("nodes"), (F.sum("degree") / 2).cast("bigint").alias("edges"), F.max("degree").alias("top_degree"), F.min_by("node", F.struct(-F.col("degree"), "node")).alias("top_node"))
     density = 2 * F.col("edges") / (F.col("nodes") * (F.col("nodes") - 1))
-    return per.where(F.col("nodes") >= least_nodes).select("client_id", "nodes", "edges", r6(density).alias("density"), F.when(density > 0.5, "dense").when(density < 0.1, "sparse").alias("tag"), "top_node", "top_degree")
+    return per.where(F.col("nodes") >= least_nodes).select("client_id", "nodes", "edges", F.round(density, digits).alias("density"), F.when(density > 0.5, "dense").when(density < 0.1, "sparse").alias("tag"), "top_node", "top_degree")
 
 
 # -- conversion ---------------------------------------------------------------------

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from profilis.conf import CONF, EngineConf
 from profilis.functions.dates import age_bucket, days_between, delta_bucket, micros, time_of_day
 from profilis.functions.stats import r6, top_k
+from profilis.functions.text import word_hash
 from profilis.operators.sessions import sessionize
 
 
@@ -83,46 +84,70 @@ def history_windows(events: DataFrame, conf: EngineConf = CONF) -> DataFrame:
 
 
 def recent_lines(events: DataFrame, conf: EngineConf = CONF, k: int = 30, days: int = 14) -> DataFrame:
-    """One line of text per event of the recent window, the last k, in order of time."""
+    """One line of text per event of the recent window, the last k; pos -1 is the latest.
+
+    An event shows its sku with the product's category and price, else its page, else a short hash of its query.
+    """
     recent = events.where(micros("timestamp") >= micros(conf.now) - days * 86_400_000_000)
     last = top_k(recent, ["client_id"], [F.desc("timestamp"), F.desc("event_id")], k)
     part = lambda mark, c: F.coalesce(F.concat(F.lit(f" {mark}:"), F.col(c).cast("string")), F.lit(""))
-    line = F.concat(F.lit("["), F.date_format("timestamp", "yyyyMMdd-HHmm"), F.lit("] E:"), "event_type", part("S", "sku"), part("C", "category_id"), part("P", "price_bucket"))
+    what = F.when(F.col("sku").isNotNull(), F.concat(part("S", "sku"), part("C", "category_id"), part("P", "price_bucket")))
+    if "url" in events.columns:
+        what = what.when(F.col("url").isNotNull(), part("U", "url"))
+    if "query" in events.columns:
+        what = what.when(F.col("query").isNotNull(), F.concat(F.lit(" Q:"), F.lpad((word_hash(F.col("query")) % 10000).cast("string"), 4, "0")))
+    line = F.concat(F.lit("["), F.date_format("timestamp", "yyyyMMdd-HHmm"), F.lit("] E:"), "event_type", what.otherwise(""))
     return last.select("client_id", (F.lit(0) - F.col("rank")).alias("pos"), line.alias("line"))
 
 
-def _marked(name: str, value: Column) -> Column:
-    return F.coalesce(F.concat(F.lit(f" {name}:["), value, F.lit("]")), F.lit(""))
-
-
-def raw_sequence(events: DataFrame, conf: EngineConf = CONF, k: int = 100) -> DataFrame:
-    """Tokens of each client's last k events: time since the one before, time of day, weekday, age."""
-    s = sessionize(events, conf.session_gap_s)
-    w = W.partitionBy("client_id").orderBy("timestamp", "event_id")
+def raw_sequence(events: DataFrame, conf: EngineConf = CONF, k: int = 100, names: DataFrame | None = None, quantiles: DataFrame | None = None) -> DataFrame:
+    """Tokens of each client's last k events: time since the one before, time of day, weekday, age.
+
+    Sessions are those of the kept events, so that the first one always begins a session.
+    names (sku, name: array of numbers) and quantiles (sku, quantile) add what products have.
+    """
+    last = top_k(events, ["client_id"], [F.desc("timestamp"), F.desc("event_id")], k).drop("rank")
+    if "url" not in events.columns:
+        last = last.withColumn("url", F.lit(None).cast("string"))
+    last = last.join(names.select("sku", F.array_join(F.transform("name", lambda x: x.cast("bigint").cast("string")), " ").alias("name")), "sku", "left") if names is not None else last.withColumn("name", F.lit(None).cast("string"))
+    quantile = F.coalesce("quantile", F.lit("Q0")) if quantiles is not None else F.lit(None).cast("string")
+    last = (last.join(quantiles.select("sku", "quantile"), "sku", "left") if quantiles is not None else last).withColumn("popularity", quantile)
+    s = sessionize(last, conf.session_gap_s)
+    w = in_order()
     s = s.withColumn("before", F.lag("timestamp").over(w)).withColumn("session_before", F.lag("session_id").over(w))
     seconds = (micros("timestamp") - micros("before")) / F.lit(1e6)
-    s = s.withColumn("delta", F.when(F.col("session_before").isNull() | (F.col("session_before") != F.col("session_id")), "T_SessionStart").otherwise(delta_bucket(seconds)))
-    last = top_k(s, ["client_id"], [F.desc("timestamp"), F.desc("event_id")], k)
-    return last.select(
-        "client_id", "event_id", "session_id", "event_type", "sku", "category_id", "price_bucket", "query", "delta",
+    return s.select(
+        "client_id", "event_id", "session_id", "event_type", "sku", "category_id", "price_bucket", "query", "url", "name", "popularity",
+        F.when(F.col("session_before").isNull() | (F.col("session_before") != F.col("session_id")), "T_SessionStart").otherwise(delta_bucket(seconds)).alias("delta"),
         time_of_day(F.hour("timestamp")).alias("tod"), F.when(F.weekday("timestamp") < 5, "Weekday").otherwise("Weekend").alias("dow"),
         age_bucket(days_between(conf.now, F.col("timestamp"))).alias("age"),
     )
 
 
+def _marked(name: str, value: Column, when: Column | None = None) -> Column:
+    """`` NAME:[value]``, or nothing where there is no value or ``when`` doesn't hold."""
+    text = F.concat(F.lit(f" {name}:["), value, F.lit("]"))
+    return F.coalesce(text if when is None else F.when(when, text), F.lit(""))
+
+
 def raw_sequence_text(tokens: DataFrame) -> DataFrame:
-    """The tokens of a client as one text; sessions are bracketed, events joined by </s>."""
-    gone = F.col("event_type") == "remove_from_cart"
+    """The tokens of a client as one text: events and marks of sessions, joined by </s>.
+
+    Only purchases, cart additions and removals show a product; removals show neither its
+    category nor its price. A query that is no bracketed list is called invalid.
+    """
+    kind, q = F.col("event_type"), F.col("query")
+    product = kind.isin("product_buy", "add_to_cart", "remove_from_cart")
+    priced = product & (kind != "remove_from_cart") & F.col("sku").isNotNull()
+    inner = F.replace(F.regexp_replace(q, r"^[\[\]]+|[\[\]]+$", ""), F.lit(","), F.lit(" "))
     text = F.concat(
-        F.lit("EVENT: "), F.col("event_type"), _marked("SKU", F.concat(F.lit("SKU_"), F.col("sku").cast("string"))),
-        F.when(gone, "").otherwise(_marked("CAT", F.concat(F.lit("CAT_"), F.col("category_id").cast("string")))),
-        F.when(gone, "").otherwise(_marked("PRICE", F.concat(F.lit("PRICE_"), F.col("price_bucket").cast("string")))),
-        _marked("QUERY_EMB", F.trim(F.translate("query", "[],", "  "))), _marked("AGE", F.col("age")), _marked("TOD", F.col("tod")), _marked("DOW", F.col("dow")), _marked("TIME_DELTA", F.col("delta")),
+        F.lit("EVENT: "), kind, _marked("SKU", F.concat(F.lit("SKU_"), F.col("sku").cast("string")), product),
+        _marked("CAT", F.concat(F.lit("CAT_"), F.col("category_id").cast("string")), priced), _marked("PRICE", F.concat(F.lit("PRICE_"), F.col("price_bucket").cast("string")), priced),
+        _marked("NAME_EMB", F.col("name"), product & F.col("sku").isNotNull()), _marked("URL", F.concat(F.lit("URL_"), "url"), (kind == "page_visit") & (F.col("url") != "")),
+        _marked("QUERY_EMB", F.when(q.startswith("[") & q.endswith("]"), inner).otherwise("InvalidFormat"), (kind == "search_query") & (q != "")),
+        _marked("POP_Q", F.col("popularity")), _marked("AGE", F.col("age")), _marked("TOD", F.col("tod")), _marked("DOW", F.col("dow")), _marked("TIME_DELTA", F.col("delta")),
     )
-    w = W.partitionBy("client_id").orderBy("session_id", "event_id")
-    ends = F.lead("session_id").over(w).isNull() | (F.lead("session_id").over(w) != F.col("session_id"))
-    starts = F.lag("session_id").over(w).isNull() | (F.lag("session_id").over(w) != F.col("session_id"))
-    line = F.concat(F.when(starts, "<SESS_START> ").otherwise(""), text, F.when(ends, " <SESS_END>").otherwise(""))
-    lines = tokens.select("client_id", "session_id", "event_id", line.alias("line"))
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("session_id", "event_id", "line"))), lambda x: x["line"])
-    return lines.groupBy("client_id").agg(F.array_join(ordered, "</s>").alias("raw_sequence"))
+    per = tokens.select("client_id", "session_id", "event_id", text.alias("line")).groupBy("client_id", "session_id").agg(F.array_sort(F.collect_list(F.struct("event_id", "line"))).alias("l"))
+    whole = F.concat(F.array(F.lit("<SESS_START>")), F.transform("l", lambda x: x["line"]), F.array(F.lit("<SESS_END>")))
+    ordered = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("session_id", whole.alias("l")))), lambda x: x["l"]))
+    return per.groupBy("client_id").agg(F.array_join(ordered, "</s>").alias("raw_sequence"))

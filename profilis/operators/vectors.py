@@ -58,6 +58,13 @@ def centroid_similarity(vectors: DataFrame, id_col: str, vector: str) -> DataFra
     return unit.join(F.broadcast(centre)).select(id_col, r6(dot(F.col("u"), F.col("c"))).alias("similarity"))
 
 
+def similarity_to_centre(rows: DataFrame, id_col: str, vector: str) -> DataFrame:
+    """Product of each vector with the mean of all, as they are."""
+    means = rows.select(F.posexplode(vector).alias("pos", "x")).groupBy("pos").agg(F.avg("x").alias("m"))
+    centre = means.agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "m"))), lambda x: x["m"]).alias("c"))  # one vector
+    return rows.join(F.broadcast(centre)).select(id_col, dot(F.col(vector), F.col("c")).alias("similarity"))
+
+
 def ensemble_weights(scores: dict[str, list[float]], penalty: float = 0.2, least: float = 0.01) -> dict[str, float]:
     """Weights w with sum 1 and w >= least that minimise -mean(w . scores) + penalty * sum(w^2).
 

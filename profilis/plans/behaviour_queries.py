@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from profilis.operators import pairs, price, propensity, sequence
+from profilis.operators import dataset, pairs, price, propensity, sequence
 from profilis.plans.registry import NOW, X, days, query, sessions_sql
-from profilis.sources.events import order_events, client_events
+from profilis.sources.events import client_events, order_events, with_urls
 
 DAY = 86400
 W = "window w as (partition by client_id order by timestamp, event_id)"
@@ -75,20 +75,47 @@ def history_lines(spark, sf_dir):
     return sequence.recent_lines(client_events(spark, sf_dir))
 
 
-@query("raw_sequence_tokens", X + ", " + sessions_sql() + f""", b as (select *, lag(session_id) over w as sb, (epoch_us(timestamp) - epoch_us(lag(timestamp) over w)) / 1000000.0 as sec,
-  row_number() over (partition by client_id order by timestamp desc, event_id desc) as r, {days(NOW, 'timestamp')} as age_days from s {W})
-select client_id, event_id, session_id, event_type, sku, category_id, price_bucket, query,
-  case when sb is null or sb <> session_id then 'T_SessionStart' when sec < 0 then 'T_Error' when sec <= 5 then 'T_0-5s' when sec <= 30 then 'T_5-30s' when sec <= 120 then 'T_30s-2m' when sec <= 600 then 'T_2-10m' when sec <= 1800 then 'T_10-30m' else 'T_30m+' end as delta,
+SKU_QUANTILES = """, rc as (select sku, count(*) filter (event_type = 'page_visit') as v, count(*) filter (event_type = 'add_to_cart') as a, count(*) filter (event_type = 'product_buy') as b from x where sku is not null group by 1),
+rp as (select sku, case when sum(v) over () > 0 then v + 3 * a + 10 * b else 2 * a + 10 * b end as score from rc), rq as (select quantile_cont(score, 0.25) as q1, quantile_cont(score, 0.5) as q2, quantile_cont(score, 0.75) as q3 from rp),
+rs as (select sku, case when score <= q1 then 'Q1' when score <= q2 then 'Q2' when score <= q3 then 'Q3' else 'Q4' end as quantile from rp, rq)"""
+RAW = X + SKU_QUANTILES + """, n0 as (select count(*) as n from pages), xu as (select x.*, url from x cross join n0 left join pages on event_type = 'page_visit' and page_id = k % n0.n),
+rn as (select vec_id as sku, array_to_string(list_transform(embedding[1:36], lambda q: cast(floor(256 * cast(q as double)) as bigint)), ' ') as name from embeddings),
+rk as (select xu.*, rn.name, coalesce(rs.quantile, 'Q0') as popularity from (select * from xu qualify row_number() over (partition by client_id order by timestamp desc, event_id desc) <= {k}) xu left join rn on rn.sku = xu.sku left join rs on rs.sku = xu.sku), """ + sessions_sql("rk") + f""",
+rt as (select *, lag(session_id) over w as sb, (epoch_us(timestamp) - epoch_us(lag(timestamp) over w)) / 1000000.0 as sec, {days(NOW, 'timestamp')} as age_days from s {W}),
+tk as (select client_id, event_id, session_id, event_type, sku, category_id, price_bucket, query, url, name, popularity,
+  case when sb is null or sb <> session_id then 'T_SessionStart' when sec < 0 then 'T_Error' when sec <= 5 then 'T_0-5s' when sec <= 30 then 'T_5-30s' when sec <= 120 then 'T_30s-2m' when sec <= 600 then 'T_2m-10m' when sec <= 1800 then 'T_10m-30m' else 'T_30m+' end as delta,
   case when hour(timestamp) between 5 and 11 then 'Morning' when hour(timestamp) between 12 and 17 then 'Afternoon' when hour(timestamp) between 18 and 21 then 'Evening' else 'Night' end as tod,
-  case when isodow(timestamp) <= 5 then 'Weekday' else 'Weekend' end as dow, case when age_days <= 1 then 'D_1' when age_days <= 7 then 'D_7' when age_days <= 30 then 'D_30' when age_days <= 180 then 'D_180' else 'D_180+' end as age
-from b where r <= 100""")
+  case when isodow(timestamp) <= 5 then 'Weekday' else 'Weekend' end as dow, case when age_days <= 1 then 'D_0-1' when age_days <= 7 then 'D_1-7' when age_days <= 30 then 'D_7-30' when age_days <= 180 then 'D_30-180' else 'D_180+' end as age from rt)"""
+RAW_TEXT = """, re as (select client_id, session_id, event_id, 'EVENT: ' || event_type
+  || case when event_type in ('product_buy', 'add_to_cart', 'remove_from_cart') and sku is not null then ' SKU:[SKU_' || sku || ']' || case when event_type <> 'remove_from_cart' then coalesce(' CAT:[CAT_' || category_id || ']', '') || coalesce(' PRICE:[PRICE_' || price_bucket || ']', '') else '' end || coalesce(' NAME_EMB:[' || name || ']', '')
+    when event_type = 'page_visit' and url <> '' then ' URL:[URL_' || url || ']' when event_type = 'search_query' and query <> '' then ' QUERY_EMB:[' || case when query like '[%]' then replace(trim(query, '[]'), ',', ' ') else 'InvalidFormat' end || ']' else '' end
+  || ' POP_Q:[' || popularity || '] AGE:[' || age || '] TOD:[' || tod || '] DOW:[' || dow || '] TIME_DELTA:[' || delta || ']' as line from tk),
+rx as (select client_id, session_id, '<SESS_START></s>' || string_agg(line, '</s>' order by event_id) || '</s><SESS_END>' as part from re group by all),
+raw as (select client_id, string_agg(part, '</s>' order by session_id) as raw_sequence from rx group by 1)"""
+
+
+def raw_sql(k: int = 100) -> str:
+    return RAW.replace("{k}", str(k))
+
+
+def raw_tokens(spark, sf_dir, k: int = 100):
+    """Tokens with names and popularity, over events with pages."""
+    from profilis.plans.rendering_queries import named_skus
+
+    e = client_events(spark, sf_dir)
+    quantiles = price.popularity_quantiles(price.popularity(e, "sku"), "sku")
+    return sequence.raw_sequence(with_urls(e, spark.read.parquet(f"{sf_dir}/pages.parquet")), k=k, names=named_skus(spark, sf_dir), quantiles=quantiles)
+
+
+@query("raw_sequence_tokens", raw_sql() + " select * from tk")
 def raw_sequence_tokens(spark, sf_dir):
-    return sequence.raw_sequence(client_events(spark, sf_dir))
+    return raw_tokens(spark, sf_dir)
 
 
-@query("raw_sequence_text")
+@query("raw_sequence_text", raw_sql(40) + RAW_TEXT + " select * from raw")
 def raw_sequence_text(spark, sf_dir):
-    return sequence.raw_sequence_text(sequence.raw_sequence(client_events(spark, sf_dir)))
+    """Of the last 40 events, so that some are cut in the small tables too."""
+    return sequence.raw_sequence_text(raw_tokens(spark, sf_dir, 40))
 
 
 # -- pairs -----------------------------------------------------------------------------
@@ -114,11 +141,11 @@ def co_pairs_category(spark, sf_dir):
     return pairs.top_co_pairs(pairs.session_pairs(client_events(spark, sf_dir), "category_id", DAY, ("page_visit", "product_buy")))
 
 
-GLOBAL = X + f", pop as (select sku, count(*) as c from x where event_type in ({CART_BUY_SQL}) and sku is not null group by 1 order by c desc, sku limit 50), y as (select x.* from x semi join pop on x.sku = pop.sku)" + _pairs("sku", CART_BUY_SQL, DAY, 20, "y") + ", gp as (select i, j, count(*) as n from q group by all order by n desc, i, j limit 30)"
+GLOBAL = X + f", pop as (select sku, count(*) as c from x where event_type in ({CART_BUY_SQL}) and sku is not null group by 1 order by c desc, sku limit 5000), y as (select x.* from x semi join pop on x.sku = pop.sku)" + _pairs("sku", CART_BUY_SQL, DAY, 20, "y") + ", gp as (select i, j, count(*) as n from q group by all order by n desc, i, j limit 30)"
 
 
 def _global_pairs(spark, sf_dir):
-    return pairs.global_co_pairs(client_events(spark, sf_dir), "sku", DAY, CART_BUY, top_items=50, k=30)
+    return pairs.global_co_pairs(client_events(spark, sf_dir), "sku", DAY, CART_BUY, top_items=5000, k=30)
 
 
 @query("global_co_pairs", GLOBAL + " select * from gp")
@@ -126,6 +153,29 @@ def global_co_pairs(spark, sf_dir):
     return _global_pairs(spark, sf_dir)
 
 
+GLOBAL_CATEGORIES = X + f", pop as (select category_id, count(*) as c from x where event_type in ({CART_BUY_SQL}) and category_id is not null group by 1 order by c desc, category_id limit 500), y as (select x.* from x semi join pop on x.category_id = pop.category_id)" + _pairs("category_id", CART_BUY_SQL, DAY, 10, "y")
+
+
+@query("global_co_pairs_category", GLOBAL_CATEGORIES + " select i, j, count(*) as n from q group by all order by n desc, i, j limit 30")
+def global_co_pairs_category(spark, sf_dir):
+    return pairs.global_co_pairs(client_events(spark, sf_dir), "category_id", DAY, CART_BUY, top_items=500, k=30, cap=10)
+
+
+SAMPLE = "cast('0x' || substr(md5(client_id || ':42'), 1, 13) as bigint) % 10 = 0"
+
+
+@query("sampled_clients", X + f", c as (select distinct client_id from x) select client_id from c where {SAMPLE}")
+def sampled_clients(spark, sf_dir):
+    """A tenth of the clients, the same in every run."""
+    return dataset.sampled(client_events(spark, sf_dir).select("client_id").distinct(), "client_id", 10)
+
+
+@query("global_co_pairs_sampled", X + f", pop as (select sku, count(*) as c from x where event_type in ({CART_BUY_SQL}) and sku is not null group by 1 order by c desc, sku limit 5000), y as (select x.* from x semi join pop on x.sku = pop.sku where {SAMPLE})" + _pairs("sku", CART_BUY_SQL, DAY, 20, "y") + " select i, j, count(*) as n from q group by all order by n desc, i, j limit 30")
+def global_co_pairs_sampled(spark, sf_dir):
+    """Global pairs over a tenth of the clients; popularity is that of all."""
+    return pairs.global_co_pairs(client_events(spark, sf_dir), "sku", DAY, CART_BUY, top_items=5000, k=30, clients=sampled_clients(spark, sf_dir))
+
+
 @query("client_global_pairs", GLOBAL + ", t as (select distinct client_id, sku from x where sku is not null) select a.client_id, gp.i, gp.j, gp.n from gp join t a on a.sku = gp.i join t b on b.sku = gp.j and b.client_id = a.client_id")
 def client_global_pairs(spark, sf_dir):
     return pairs.client_global_pairs(client_events(spark, sf_dir), _global_pairs(spark, sf_dir), "sku")

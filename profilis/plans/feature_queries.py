@@ -5,24 +5,40 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from profilis.operators import extractors, graph
+from profilis.plans import profile_queries  # noqa: F401
 from profilis.plans.activity_queries import SESSION_ROWS
 from profilis.plans.behaviour_queries import ASOF
-from profilis.plans.profile_queries import rich_text
-from profilis.plans.registry import NOW, X, days, query, sessions_sql
+from profilis.plans.registry import NOW, ORACLES, X, days, query, sessions_sql
 from profilis.sources.events import raw_events, client_events, with_urls
 
 
-@query("wide_features")
+def _joined(parts: dict[str, str]) -> str:
+    """The results of other queries side by side, each column under the part's name."""
+    return X + " select c.client_id" + "".join(f", {name}.* exclude (client_id)" if not name else f", columns({name}.* exclude (client_id)) as '{name}_\\0'" for name in parts) + " from (select distinct client_id from x) c" + "".join(f" left join ({ORACLES[sql]}) {name} on {name}.client_id = c.client_id" for name, sql in parts.items())
+
+
+def _beside(first: str, *others: str) -> str:
+    return f"select * from ({ORACLES[first]})" + "".join(f" left join (select * from ({ORACLES[o]})) using (client_id)" for o in others)
+
+
+COMPACT = ("burst_score", "price_shift", "category_entropy", "price_entropy")
+EXTRA = ("weekday_entropy", "favourites", "time_of_day_variance", "recency_rank", "lifetime_span")
+ORACLES["__compact"], ORACLES["__extra"] = _beside(*COMPACT), f"select * exclude (days) from ({_beside(*EXTRA)})"
+PARTS = {"recency": "recency_status", "funnel": "funnel_rates", "gaps": "inactivity_gaps", "sessions": "session_night_share", "rfm": "rfm", "churn": "churn_signals", "compact": "__compact", "extra": "__extra", "cyclic": "cyclic_means"}
+WIDE_SQL, COMPACT_SQL, EXTRA_SQL = _joined(PARTS), ORACLES.pop("__compact"), ORACLES.pop("__extra")
+
+
+@query("wide_features", WIDE_SQL)
 def wide_features(spark, sf_dir):
     return extractors.wide_features(client_events(spark, sf_dir))
 
 
-@query("compact_metrics")
+@query("compact_metrics", COMPACT_SQL)
 def compact_metrics(spark, sf_dir):
     return extractors.compact_metrics(client_events(spark, sf_dir))
 
 
-@query("extra_metrics")
+@query("extra_metrics", EXTRA_SQL)
 def extra_metrics(spark, sf_dir):
     return extractors.extra_metrics(client_events(spark, sf_dir))
 
@@ -53,11 +69,10 @@ def _with_urls(spark, sf_dir):
 
 @query("url_sku_edges", X + ", n as (select count(*) as n from pages), v as (select x.*, url from x cross join n left join pages on event_type = 'page_visit' and page_id = k % n.n), " + sessions_sql("v", 86400) + """,
 a as (select distinct client_id, session_id, url from s where event_type = 'page_visit' and url is not null), b as (select distinct client_id, session_id, sku from s where sku is not null and event_type <> 'page_visit'),
-e as (select url, sku, count(*) as w from a join b on a.client_id = b.client_id and a.session_id = b.session_id group by all) select w, count(*) as n_edges, count(distinct sku) as n_skus from e group by 1""")
+e as (select url, sku, count(*) as w from a join b on a.client_id = b.client_id and a.session_id = b.session_id group by all) select 'U_' || cast('0x' || substr(md5(url), 1, 15) as bigint) as src, 'S_' || sku as dst, w from e""")
 def url_sku_edges(spark, sf_dir):
-    """How many edges there are of each weight; names of pages are hashes."""
-    e = extractors.url_sku_edges(_with_urls(spark, sf_dir), 86400)
-    return e.groupBy("w").agg(F.count("*").alias("n_edges"), F.countDistinct("dst").alias("n_skus"))
+    """Every edge; pages go by a hash of their address."""
+    return extractors.url_sku_edges(_with_urls(spark, sf_dir), 86400)
 
 
 @query("url_vectors")
@@ -65,9 +80,3 @@ def url_vectors(spark, sf_dir):
     edges = extractors.url_sku_edges(_with_urls(spark, sf_dir), 86400)
     both = edges.unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w"))
     return graph.walk_vectors(graph.random_walks(both))
-
-
-@query("raw_sequence_fill")
-def raw_sequence_fill(spark, sf_dir):
-    texts = rich_text(spark, sf_dir).withColumnRenamed("rich_text", "text")
-    return extractors.with_raw_sequences(texts, extractors.sequences_of(client_events(spark, sf_dir)))

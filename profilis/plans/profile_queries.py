@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import functions as F
 
+from profilis.conf import CONF
 from profilis.functions import text as tx
 from profilis.functions.stats import r6
-from profilis.operators import dataset, graph, metrics, pairs, price, propensity, sequence, sessions, vectors
-from profilis.plans.registry import NOW, X, days, query
+from profilis.operators import dataset, graph, metrics, pairs, price, sequence, vectors
+from profilis.plans.registry import NOW, X, days, query, sessions_sql
 from profilis.sources.events import client_events
 
 DAY = 86400
@@ -80,24 +80,21 @@ def pagerank_category(spark, sf_dir):
     return graph.pagerank(sequence.category_transitions(client_events(spark, sf_dir)))
 
 
-BASKETS = """with b as (select o_custkey as c, o_orderkey as o, l_partkey as sku from orders join lineitem on l_orderkey = o_orderkey), top as (select sku from b group by 1 order by count(*) desc, sku limit 200),
-d as (select distinct o, sku from b semi join top on b.sku = top.sku), e as (select a.sku as src, z.sku as dst, count(*) as w from d a join d z on a.o = z.o and a.sku < z.sku group by all)"""
+def _central(spark, sf_dir):
+    e = client_events(spark, sf_dir)
+    return pairs.central_edges(e, price.popularity(e, "sku"), CONF.session_gap_s)
 
 
-def _basket_edges(spark, sf_dir, top: int = 200):
-    """Skus bought in one order, among the most bought ones, as directed pairs i < j."""
-    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.col("l_orderkey").alias("o"), F.col("l_partkey").alias("sku"))
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("o"))
-    lines = lines.join(orders, "o", "left_semi")
-    best = lines.groupBy("sku").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "sku").limit(top).select("sku")
-    baskets = lines.join(F.broadcast(best), "sku", "left_semi").groupBy("o").agg(F.array_sort(F.collect_set("sku")).alias("items")).where(F.size("items") > 1)
-    at = baskets.select("items", F.posexplode("items").alias("pos", "src"))
-    return at.select("src", F.explode(F.slice("items", F.col("pos") + 2, 1000)).alias("dst")).groupBy("src", "dst").agg(F.count("*").alias("w"))
+SKU_EDGES = """, pk as (select sku, count(*) filter (event_type = 'page_visit') as v, count(*) filter (event_type = 'add_to_cart') as a, count(*) filter (event_type = 'product_buy') as b from x where sku is not null group by 1),
+ps as (select sku, case when sum(v) over () > 0 then v + 3 * a + 10 * b else 2 * a + 10 * b end as score from pk),
+top as (select sku from ps where score > 0 or (select count(*) from ps where score > 0) < 100 order by score desc, sku limit 2000), kx as (select x.* from x semi join top on top.sku = x.sku), """ + sessions_sql("kx") + """,
+ki as (select distinct client_id, session_id, sku from s), e as (select a.sku as src, b.sku as dst, count(*) as w from ki a join ki b on a.client_id = b.client_id and a.session_id = b.session_id and a.sku < b.sku group by all)"""
 
 
-@query("pagerank_sku", BASKETS + _pagerank(10))
+@query("pagerank_sku", X + SKU_EDGES + _pagerank(10))
 def pagerank_sku(spark, sf_dir):
-    return graph.pagerank(_basket_edges(spark, sf_dir))
+    """Ranks over skus that meet in a session, among the 2000 most popular ones."""
+    return graph.pagerank(_central(spark, sf_dir))
 
 
 CLIENT_EDGES = """, cv as (select * from x where category_id is not null), cp as (select client_id, lag(category_id) over (partition by client_id order by timestamp, event_id) as src, category_id as dst from cv),
@@ -152,10 +149,11 @@ def name_vector_spread(spark, sf_dir):
 UNIT = "list_transform({v}, lambda q: cast(q as double) / (sqrt(list_sum(list_transform({v}, lambda y: cast(y as double) * cast(y as double)))) + 1e-8))"
 
 
-@query("vector_normalise", f"select vec_id, array_to_string(list_transform({UNIT.format(v='embedding')}[1:8], lambda q: cast(cast(round(q * 1000000) as bigint) as varchar)), ',') as head from embeddings")
+@query("vector_normalise", f"select vec_id, array_to_string(list_transform({UNIT.format(v='embedding')}, lambda q: cast(cast(round(q * 1000000) as bigint) as varchar)), ',') as unit from embeddings")
 def vector_normalise(spark, sf_dir):
+    """All components, in millionths."""
     v = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
-    return v.select("vec_id", F.array_join(F.transform(F.slice(vectors.normalised(F.col("embedding")), 1, 8), lambda x: F.round(x * 1000000).cast("bigint").cast("string")), ",").alias("head"))
+    return v.select("vec_id", F.array_join(F.transform(vectors.normalised(F.col("embedding")), lambda x: F.round(x * 1000000).cast("bigint").cast("string")), ",").alias("unit"))
 
 
 @query("centroid_similarity", f"""with u as (select vec_id, {UNIT.format(v='embedding')} as u from embeddings), l as (select vec_id, unnest(u) as c, generate_subscripts(u, 1) as pos from u), m as (select pos, avg(c) as m from l group by 1)
@@ -185,9 +183,13 @@ def ensemble_vectors(spark, sf_dir):
     return vectors.ensemble([(v, w[0]), (turned, w[1]), (back, w[2])], "vec_id", "v").select("vec_id", F.posexplode("vector").alias("p", "c")).select("vec_id", (F.col("p") + 1).alias("pos"), r6(F.col("c")).alias("value"))
 
 
-@query("ensemble_weights")
+#: Without active bounds the weights are 1 / n plus half the lead over the mean, over the penalty of 0.2.
+ENSEMBLE_WEIGHTS = "with s as (select unnest([" + ", ".join(f"{{'model': '{m}', 'scores': {v}}}" for m, v in SCORES.items()) + "], recursive := true)), m as (select model, list_avg(scores) as m from s) select model, round(1 / count(*) over () + (m - avg(m) over ()) / 0.4, 6) as weight from m"
+
+
+@query("ensemble_weights", ENSEMBLE_WEIGHTS)
 def ensemble_weights(spark, sf_dir):
-    return spark.createDataFrame(list(vectors.ensemble_weights(SCORES).items()), "model string, weight double")
+    return spark.createDataFrame([(m, round(w, 6)) for m, w in vectors.ensemble_weights(SCORES).items()], "model string, weight double")
 
 
 @query("infonce_metrics", f"""with u as (select vec_id, vec_id // 20 as batch, {UNIT.format(v='embedding')} as a from embeddings), z as (select vec_id, batch, a, list_reverse(a) as rv from u),
@@ -213,17 +215,21 @@ def cluster_shares(spark, sf_dir):
 
 
 # -- texts --------------------------------------------------------------------------------
-DOCS = "with d as (select doc_id, '[CLIENT_' || doc_id || '] client_id: ' || doc_id || ' ' || text as t from documents)"
+#: Documents that name a client in every way that cleaning knows, and their own number.
+DOCS = """with d as (select doc_id, '[CLIENT_' || doc_id || '] client_id: ' || doc_id || ' "client_id": 12, ''client_id'': 7 CLIENT_99x user ' || doc_id || ' ' || text || ' ' || doc_id || '.' as t from documents)"""
 
 
-@query("clean_text", DOCS + r""", c as (select doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '(?i)\[client_\d+\]', '', 'g'), '(?i)client[_ ]?id\s*[:=]?\s*\d+', '', 'g'), '(?i)\bclient[_ ]\d+\b', '', 'g'), '(?i)\buser[_ ]\d+\b', '', 'g'), '(?i)\bid\s*[:=]\s*\d+', '', 'g') as t from d)
-select doc_id, md5(trim(regexp_replace(t, '[ \t\n\x0B\f\r]+', ' ', 'g'))) as cleaned from c where not regexp_matches(t, '\b' || doc_id || '\b')""")
+@query("clean_text", DOCS + r""", a as (select doc_id, regexp_replace(regexp_replace(regexp_replace(t, '(?i)\[CLIENT_\d+\]', '', 'g'), '(?i)CLIENT_\d+', '', 'g'), '(?i)client_id:\s*\d+', '', 'g') as t from d),
+b as (select doc_id, regexp_replace(regexp_replace(t, '(?i)"client_id":\s*\d+,?', '', 'g'), '(?i)''client_id'':\s*\d+,?', '', 'g') as t from a),
+w as (select doc_id, unnest(regexp_extract_all(t, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_]+')) as w, generate_subscripts(regexp_extract_all(t, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_]+'), 1) as i from b),
+c as (select doc_id, string_agg(case when w = cast(doc_id as varchar) then '' else w end, '' order by i) as t from w group by 1)
+select doc_id, md5(regexp_replace(regexp_replace(regexp_replace(t, '[ \t\n\x0B\f\r]+', ' ', 'g'), '^ ', ''), ' $', '')) as cleaned from c""")
 def clean_text(spark, sf_dir):
+    """Every document; its own number goes where it is a word of its own."""
     d = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    t = F.concat(F.lit("[CLIENT_"), F.col("doc_id"), F.lit("] client_id: "), F.col("doc_id"), F.lit(" "), F.col("text"))
-    # texts that mention the bare number are cleaned too; the SQL can't say that pattern
-    plain = tx.clean_text(t, F.lit("~"))
-    return d.where(~F.regexp_like("text", F.concat(F.lit(r"\b"), F.col("doc_id").cast("string"), F.lit(r"\b")))).select("doc_id", F.md5(plain).alias("cleaned"))
+    number = F.col("doc_id").cast("string")
+    t = F.concat(F.lit("[CLIENT_"), number, F.lit("] client_id: "), number, F.lit(" \"client_id\": 12, 'client_id': 7 CLIENT_99x user "), number, F.lit(" "), F.col("text"), F.lit(" "), number, F.lit("."))
+    return d.select("doc_id", F.md5(tx.clean_text(t, F.col("doc_id"))).alias("cleaned"))
 
 
 LINES = """with l0 as (select doc_id as client_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as pos from documents),
@@ -247,65 +253,39 @@ def token_budget(spark, sf_dir):
     return tx.within_budget(tx.deduplicated(_lines(spark, sf_dir)), 200).select("client_id", "section", "pos", "words_so_far")
 
 
-@query("sequence_truncate", "with c as (select doc_id, list_filter(list_transform(string_split(replace(text, '. ', '</s>'), '</s>'), lambda q: trim(q)), lambda q: q <> '') as c from documents) select doc_id, md5(array_to_string(c[greatest(1, len(c) - 4) : len(c)], '</s>')) as tail from c")
+@query("sequence_truncate", """with c as (select doc_id, list_filter(list_transform(string_split(case when doc_id % 7 = 0 then ' </s> ' else replace(text, '. ', '</s>') end, '</s>'), lambda q: regexp_replace(q, '^[ \t\n\x0B\f\r]+|[ \t\n\x0B\f\r]+$', '', 'g')), lambda q: q <> '') as c from documents)
+select doc_id, md5(case when len(c) = 0 then 'No event sequence available for this client.' when len(c) > 5 then '... (truncated to last 5 events)' || chr(10) || array_to_string(c[len(c) - 4 : len(c)], '</s>') else array_to_string(c, '</s>') end) as tail from c""")
 def sequence_truncate(spark, sf_dir):
+    """Texts as sequences of sentences; every seventh has no event."""
     d = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return d.select("doc_id", F.md5(tx.last_chunks(F.replace("text", F.lit(". "), F.lit("</s>")), 5)).alias("tail"))
+    t = F.when(F.col("doc_id") % 7 == 0, " </s> ").otherwise(F.replace("text", F.lit(". "), F.lit("</s>")))
+    return d.select("doc_id", F.md5(tx.truncated_sequence(t, 5)).alias("tail"))
 
 
-@query("portrait_clean", r"""with p as (select doc_id, '```text' || chr(10) || '- ' || replace(text, chr(10), chr(10) || ' - ') || chr(10) || '— FIN — more' as t from documents),
-q as (select doc_id, list_filter(list_transform(string_split(split_part(regexp_replace(t, '```[a-z]*', '', 'g'), '— FIN —', 1), chr(10)), lambda z: trim(z)), lambda z: starts_with(z, '- ')) as l from p)
-select doc_id, case when len(l) > 0 then md5(array_to_string(l, chr(10))) else md5('- No portrait available') end as portrait from q""")
+@query("portrait_clean", r"""with p as (select doc_id, case when doc_id % 5 = 0 then 'nothing of use' else 'Sure: ```python' || chr(10) || '- not this' || chr(10) || '```' || chr(10) || '- ' || replace(text, chr(10), chr(10) || ' - ') || chr(10) || '— FIN — more' || chr(10) || '- nor this' end as t from documents),
+q as (select doc_id, list_filter(list_transform(string_split(split_part(regexp_replace(t, '```[\s\S]*?```', '', 'g'), '— FIN —', 1), chr(10)), lambda z: trim(z, ' ' || chr(9) || chr(13))), lambda z: starts_with(z, '- ')) as l from p)
+select doc_id, md5(case when len(l) > 0 then array_to_string(l, chr(10)) else '- Behavioural signal too sparse to summarise.' end || chr(10) || '— FIN —') as portrait from q""")
 def portrait_clean(spark, sf_dir):
+    """Documents as what a generator might say; every fifth says nothing of use."""
     d = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    raw = F.concat(F.lit("```text\n- "), F.replace("text", F.lit("\n"), F.lit("\n - ")), F.lit("\n— FIN — more"))
-    return d.select("doc_id", F.md5(tx.clean_portrait(raw)).alias("portrait"))
-
-
-def _profile_lines(spark, sf_dir):
-    """A few extractors' results as lines of sections, over events dealt by client once."""
-    e = client_events(spark, sf_dir).repartition("client_id").persist(StorageLevel.MEMORY_AND_DISK)
-    from profilis.operators import activity
-
-    stage = activity.funnel_stage(e).select("client_id", F.lit("INTENT").alias("section"), F.lit(1).alias("pos"), F.concat(F.lit("Funnel Stage: "), "stage").alias("line"))
-    churn = propensity.churn_signals(e).select("client_id", F.lit("CHURN_PROPENSITY").alias("section"), F.lit(1).alias("pos"), F.concat(F.lit("CHURN_RISK:"), F.upper("risk")).alias("line"))
-    cats = propensity.category_propensity(e).select("client_id", F.lit("CHURN_PROPENSITY").alias("section"), (F.col("rank") + 1).alias("pos"), F.format_string("CAT_PROPENSITY:CAT_%d(score=%.2f)", "category_id", "score").alias("line"))
-    seen = activity.recency_status(e).select("client_id", F.lit("TEMPORAL").alias("section"), F.lit(1).alias("pos"), F.concat(F.lit("Days Since Last Activity: "), F.col("days_since_last").cast("string")).alias("line"))
-    night = sessions.session_profile(e).select("client_id", F.lit("TEMPORAL").alias("section"), F.lit(2).alias("pos"), F.concat(F.lit("Sessions: "), F.col("n_sessions").cast("string")).alias("line"))
-    money = price.rfm(e).select("client_id", F.lit("PRICE").alias("section"), F.lit(1).alias("pos"), F.format_string("RFM:%d:%d:%.0f", "recency", "frequency", "monetary").alias("line"))
-    tops = propensity.top_scores(e, "sku").select("client_id", F.lit("CUSTOM").alias("section"), F.col("rank").alias("pos"), F.format_string("TOPSKU%d:SKU_%d rs=%.2f cnt=%d last=%dd", "rank", "sku", "score", "n", "days_since").alias("line"))
-    who = price.segments_of(price.user_segments(e)).select("client_id", F.lit("OVERVIEW").alias("section"), F.lit(1).alias("pos"), F.concat(F.lit("[CLIENT_"), F.col("client_id").cast("string"), F.lit("] Segments: "), "segments").alias("line"))
-    past = sequence.recent_lines(e, k=5).select("client_id", F.lit("HISTORY").alias("section"), "pos", "line")
-    co = pairs.top_co_pairs(pairs.session_pairs(e, "sku", DAY, ("add_to_cart", "product_buy"))).select("client_id", F.lit("GRAPH").alias("section"), F.col("rank").alias("pos"), F.format_string("CO_PAIR:SKU_%d~SKU_%d (%dx)", "i", "j", "n").alias("line"))
-    out = who
-    for part in (stage, churn, cats, seen, night, money, tops, past, co):
-        out = out.unionByName(part)
-    return out
-
+    said = F.concat(F.lit("Sure: ```python\n- not this\n```\n- "), F.replace("text", F.lit("\n"), F.lit("\n - ")), F.lit("\n— FIN — more\n- nor this"))
+    return d.select("doc_id", F.md5(tx.clean_portrait(F.when(F.col("doc_id") % 5 == 0, "nothing of use").otherwise(said))).alias("portrait"))
 
-@query("rich_text")
-def rich_text(spark, sf_dir):
-    return tx.rich_text(_profile_lines(spark, sf_dir))
 
-
-@query("profile_json")
-def profile_json(spark, sf_dir):
-    lines = _profile_lines(spark, sf_dir)
-    features = lines.groupBy("client_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("section", "pos", "line"))), lambda x: x["line"]).alias("features"))
-    raw = sequence.raw_sequence_text(sequence.raw_sequence(client_events(spark, sf_dir)))
-    return dataset.profile_json(tx.rich_text(lines).join(features, "client_id").join(raw, "client_id"))
-
-
-@query("augment_lines")
-def augment_lines(spark, sf_dir):
-    t = rich_text(spark, sf_dir)
-    return dataset.variants(t, "rich_text", {"aug1": tx.drop_lines(F.col("rich_text"), F.col("client_id"))})
+@query("prompt_text", r"""with d as (select doc_id, '[PROFILE]' || chr(10) || text || '## PORTRAIT ##' || chr(10) || '- x' || chr(10) || '## RAW_SEQUENCE ##' || chr(10) || 'EVENT: a</s>EVENT: b' || chr(10) || '[END]' as t from documents),
+s as (select doc_id, regexp_replace(split_part(t, '## PORTRAIT ##', 1), '^[ \t\n\x0B\f\r]+|[ \t\n\x0B\f\r]+$', '', 'g') as t from d) select doc_id, md5(case when length(t) > 6000 then substr(t, 1, 6000) || chr(10) || '[TRUNCATED FOR MEMORY]' else t end) as prompt from s""")
+def prompt_text(spark, sf_dir):
+    """Texts as profiles, made ready for a prompt."""
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    t = F.concat(F.lit("[PROFILE]\n"), "text", F.lit("## PORTRAIT ##\n- x\n## RAW_SEQUENCE ##\nEVENT: a</s>EVENT: b\n[END]"))
+    return d.select("doc_id", F.md5(tx.strip_sections(t)).alias("prompt"))
 
 
-@query("augment_sections")
-def augment_sections(spark, sf_dir):
-    t = rich_text(spark, sf_dir)
-    return t.select("client_id", tx.augment_sections(F.col("rich_text"), F.col("client_id")).alias("text"))
+@query("text_numbers", "select doc_id, coalesce(try_cast(regexp_replace(substr(text, 1, 200), '[^0-9]', '', 'g') as bigint), 0) as digits, md5('Instruct: describe' || chr(10) || 'Query:' || text) as instruct from documents")
+def text_numbers(spark, sf_dir):
+    """The number that the digits at a text's beginning make, and an instruction with the text."""
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return d.select("doc_id", tx.digits(F.substring("text", 1, 200)).alias("digits"), F.md5(tx.instruct("describe", F.col("text"))).alias("instruct"))
 
 
 # -- data sets ----------------------------------------------------------------------------
@@ -339,11 +319,15 @@ def pending_ids(spark, sf_dir):
     return dataset.without(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id"), spark.read.parquet(f"{sf_dir}/labels.parquet"), "doc_id")
 
 
-@query("portrait_fusion", "select doc_id as client_id, md5(case when quality = 1 then text || chr(10) || '## PORTRAIT ##' || chr(10) || '- good' || chr(10) || '[END]' else text end) as text from documents left join labels using (doc_id)")
+@query("portrait_fusion", """with p as (select doc_id, case when quality = 1 then ' - good ' when toxic = 1 then ' - OOM (x)' when doc_id % 2 = 0 then '- ERR : y' else '- Portrait generation failed' end as portrait from labels),
+d as (select doc_id, case when doc_id % 3 = 0 then text || chr(10) || '[END]' else text end as t from documents)
+select d.doc_id as client_id, md5(case when portrait = ' - good ' then case when contains(t, '[END]') then replace(t, '[END]', chr(10) || '## PORTRAIT ##' || chr(10) || '- good' || chr(10) || '[END]') else t || chr(10) || '## PORTRAIT ##' || chr(10) || '- good' || chr(10) end else t end) as text from d left join p using (doc_id)""")
 def portrait_fusion(spark, sf_dir):
+    """Documents as profiles; those with a good label have a sound portrait, others one that failed."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    portraits = labels.select(F.col("doc_id").alias("client_id"), F.when(F.col("quality") == 1, "- good").otherwise("[ERROR] none").alias("portrait"))
-    t = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("client_id"), "text")
+    said = F.when(F.col("quality") == 1, " - good ").when(F.col("toxic") == 1, " - OOM (x)").when(F.col("doc_id") % 2 == 0, "- ERR : y").otherwise("- Portrait generation failed")
+    portraits = labels.select(F.col("doc_id").alias("client_id"), said.alias("portrait"))
+    t = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("client_id"), F.when(F.col("doc_id") % 3 == 0, F.concat("text", F.lit("\n[END]"))).otherwise(F.col("text")).alias("text"))
     return dataset.fuse_portraits(t, portraits).withColumn("text", F.md5("text"))
 
 
@@ -356,46 +340,3 @@ def dataset_integrity(spark, sf_dir):
 def first_of_each(spark, sf_dir):
     c = spark.read.parquet(f"{sf_dir}/conversations.parquet").select(F.col("conv_id").alias("client_id"), (-F.col("turn")).alias("back"), "text")
     return dataset.first_of_each(c, "client_id", ["back", "text"]).select("client_id", "text")
-
-
-@query("token_pairs")
-def token_pairs(spark, sf_dir):
-    t = rich_text(spark, sf_dir)
-    both = t.withColumn("aug", tx.drop_lines(F.col("rich_text"), F.col("client_id")))
-    a, b = dataset.tokenized(both, "client_id", "rich_text"), dataset.tokenized(both, "client_id", "aug").withColumnRenamed("input_ids", "input_ids_aug")
-    return a.join(b, "client_id")
-
-
-@query("status_report")
-def status_report(spark, sf_dir):
-    return dataset.status_report(rich_text(spark, sf_dir), "rich_text")
-
-
-@query("text_embeddings")
-def text_embeddings(spark, sf_dir):
-    return dataset.encoded(rich_text(spark, sf_dir), "client_id", "rich_text", hashed_vectors, 16)
-
-
-def hashed_vectors(texts: list[str]) -> list[list[float]]:
-    """A stand-in encoder: signed counts of hashed words."""
-    import zlib
-
-    out = []
-    for t in texts:
-        v = [0.0] * 16
-        for w in t.split():
-            h = zlib.crc32(w.encode())
-            v[h % 16] += 1 if h & 256 else -1
-        out.append(v)
-    return out
-
-
-@query("portraits")
-def portraits(spark, sf_dir):
-    raw = dataset.generated(rich_text(spark, sf_dir), "client_id", "rich_text", first_lines)
-    return raw.select("client_id", tx.clean_portrait(F.col("portrait")).alias("portrait"))
-
-
-def first_lines(texts: list[str]) -> list[str]:
-    """A stand-in generator: the first lines of a profile as bullets."""
-    return ["\n".join("- " + x for x in t.split("\n")[:3] if not x.startswith("##")) + "\n— FIN —" for t in texts]

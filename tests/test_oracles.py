@@ -7,7 +7,8 @@ import os
 import duckdb
 import pytest
 
-from profilis.plans import catalogue
+from profilis.operators import graph
+from profilis.plans import catalogue, rendering_queries
 
 DATA = "/root/testdata/sf0.001"
 
@@ -31,6 +32,22 @@ def duck():
     return con
 
 
+@pytest.fixture(scope="module", autouse=True)
+def profiles_once():
+    """Profiles take long to plan and many queries begin with them: here they are made once for each gap."""
+    made, whole = {}, rendering_queries.profiles
+    keep = ("segments", "recent", "medium", "old")
+
+    def once(spark, sf_dir, gap=rendering_queries.USUAL, wanted=()):
+        if (sf_dir, gap) not in made:
+            made[sf_dir, gap] = graph.cut(whole(spark, sf_dir, gap, keep))
+        return made[sf_dir, gap].select("client_id", "lines", *wanted)
+
+    rendering_queries.profiles = once
+    yield
+    rendering_queries.profiles = whole
+
+
 @pytest.mark.parametrize("name", sorted(catalogue.ORACLES))
 def test_same_rows(spark, duck, name):
     df = catalogue.QUERIES[name](spark, DATA)
