@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from profilis.functions.stats import quantiles
 from profilis.functions.text import END, MARKS, SECTIONS, is_failure, stripped, truncated_sequence, word_hash
 from profilis.runtime import ship
 
@@ -76,9 +77,10 @@ def sampled(rows: DataFrame, key: str, one_in: int, most: int | None = None, see
 def integrity(rows: DataFrame, key: str, text: str) -> DataFrame:
     """Records, distinct keys, blanks and lengths of a data set."""
     n = F.length(text)
+    (median,) = quantiles(rows.select(n.alias("n")), "n", [0.5])
     return rows.agg(
         F.count("*").alias("n_records"), F.countDistinct(key).alias("n_keys"), F.count_if(F.coalesce(F.trim(text), F.lit("")) == "").alias("n_blank"),
-        F.min(n).alias("min_chars"), F.max(n).alias("max_chars"), F.round(F.avg(n), 6).alias("mean_chars"), F.round(F.percentile(n, F.lit(0.5)), 6).alias("median_chars"),
+        F.min(n).alias("min_chars"), F.max(n).alias("max_chars"), F.round(F.avg(n), 6).alias("mean_chars"), F.round(F.lit(median).cast("double"), 6).alias("median_chars"),
     )
 
 

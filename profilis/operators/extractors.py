@@ -116,9 +116,12 @@ def rare_as_null(events: DataFrame, item: str, top: int) -> DataFrame:
     return events.join(best, item, "left").withColumn(item, F.when(F.col("__top"), F.col(item))).drop("__top")
 
 
-def url_sku_edges(events: DataFrame, gap_s: int = CONF.session_gap_s) -> DataFrame:
-    """Pages and skus of one session as weighted edges U_page, S_sku."""
+def url_sku_edges(events: DataFrame, gap_s: int = CONF.session_gap_s, top: int | None = None) -> DataFrame:
+    """Pages and skus of one session as weighted edges U_page, S_sku; of the ``top`` most visited pages if given."""
     s = sessions.sessionize(events, gap_s)
+    if top is not None:
+        best = events.where("url is not null").groupBy("url").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "url").limit(top).select("url", F.lit(True).alias("__top"))
+        s = s.join(best, "url", "left").withColumn("url", F.when(F.col("__top"), F.col("url")))
     urls = s.where("event_type = 'page_visit' and url is not null").select("client_id", "session_id", F.concat(F.lit("U_"), word_hash(F.col("url"), 15).cast("string")).alias("src")).distinct()
     skus = s.where("sku is not null and event_type <> 'page_visit'").select("client_id", "session_id", F.concat(F.lit("S_"), F.col("sku").cast("string")).alias("dst")).distinct()
     return urls.join(skus, ["client_id", "session_id"]).groupBy("src", "dst").agg(F.count("*").alias("w"))

@@ -6,6 +6,7 @@ import tempfile
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 
 
@@ -92,27 +93,42 @@ def clustering_coefficient(edges: DataFrame, keys: tuple[str, ...] = (), digits:
     return degree.join(triangles, [*k, "node"], "left").select(*k, "node", "degree", t.alias("triangles"), F.round(F.when(pairs > 0, t / pairs).otherwise(0.0), digits).alias("clustering"))
 
 
+#: Neighbours that a bucket of a node's share of chance holds, about.
+BUCKET = 8
+
+
 def random_walks(edges: DataFrame, per_node: int = 10, steps: int = 10, seed: int = 42) -> DataFrame:
     """Walks along weighted edges, chosen by a hash of walk and step, so that they repeat.
 
-    All walks advance together, one join and one choice per step.
+    Each node's neighbours share [0, 1) by weight. The share is cut into buckets of about
+    BUCKET neighbours; a walk draws one number and meets only the neighbours of its bucket, so a
+    step costs the same at a hub as anywhere else. All walks advance together.
     """
     e = weighted_edges(edges).select("src", "dst", F.col("w").cast("double").alias("w"))
-    starts = e.select(F.col("src").alias("node")).distinct()
-    walks = starts.select("node", F.explode(F.sequence(F.lit(1), F.lit(per_node))).alias("walk")).select(F.col("node").alias("start"), "walk", F.array("node").alias("path"), "node")
+    w = W.partitionBy("src")
+    upto, total, k = F.sum("w").over(w.orderBy("dst").rowsBetween(W.unboundedPreceding, 0)), F.sum("w").over(w), F.count("*").over(w)
+    last = F.row_number().over(w.orderBy("dst")) == k
+    share = e.select("src", "dst", ((upto - F.col("w")) / total).alias("low"), F.when(last, 1.0).otherwise(upto / total).alias("high"), F.ceil(k / BUCKET).cast("int").alias("buckets"))
+    share = share.withColumn("low", F.coalesce(F.lag("high").over(w.orderBy("dst")), F.lit(0.0)))
+    sizes = cut(share.groupBy("src").agg(F.max("buckets").alias("buckets")))
+    ends = F.sequence(F.floor(F.col("low") * F.col("buckets")).cast("int"), F.least(F.col("buckets") - 1, F.floor(F.col("high") * F.col("buckets")).cast("int")))
+    share = cut(share.select(F.col("src").alias("node"), "dst", "low", "high", F.explode(ends).alias("bucket")))
+    walks = sizes.select(F.col("src").alias("node"), F.explode(F.sequence(F.lit(1), F.lit(per_node))).alias("walk")).select(F.col("node").alias("start"), "walk", F.array("node").alias("path"), "node")
     for step in range(steps - 1):
-        u = (F.pmod(F.xxhash64("start", "walk", "dst", F.lit(step), F.lit(seed)), F.lit(1 << 52)) + 1) / F.lit(float(1 << 52) + 1)
-        # of the neighbours the least exponential clock wins: a choice in proportion to weights
-        clock = -F.log(u) / F.col("w")
-        ahead = walks.join(e.withColumnRenamed("src", "node"), "node", "left").groupBy("start", "walk", "path").agg(F.min_by("dst", F.struct(clock, "dst")).alias("node"))
-        walks = ahead.select("start", "walk", F.when(F.col("node").isNotNull(), F.concat("path", F.array("node"))).otherwise(F.col("path")).alias("path"), "node")
+        u = F.pmod(F.xxhash64("start", "walk", F.lit(step), F.lit(seed)), F.lit(1 << 52)) / F.lit(float(1 << 52))
+        here = walks.join(sizes.withColumnRenamed("src", "node"), "node", "left").withColumn("u", u).withColumn("bucket", F.floor(F.col("u") * F.col("buckets")).cast("int"))
+        near = share.select(F.col("node").alias("at"), "dst", "low", "high", F.col("bucket").alias("b"))
+        ahead = here.join(near, (F.col("node") == F.col("at")) & (F.col("bucket") == F.col("b")) & (F.col("u") >= F.col("low")) & (F.col("u") < F.col("high")), "left")
+        path = F.when(F.col("dst").isNotNull(), F.concat("path", F.array("dst"))).otherwise(F.col("path"))
+        walks = ahead.select("start", "walk", path.alias("path"), F.col("dst").alias("node"))
         if step % 4 == 3:
             walks = cut(walks)
     return walks.select("start", "walk", "path")
 
 
 def walk_vectors(walks: DataFrame, dim: int = 32, seed: int = 42) -> DataFrame:
-    """Word2Vec over walks: a vector per node."""
+    """Word2Vec over walks: a vector per node. Vectors live on the driver while they are learned,
+    so the graph is one of a bounded number of nodes (the most visited pages, and skus)."""
     from pyspark.ml.feature import Word2Vec
 
     words = walks.select(F.transform("path", lambda x: x.cast("string")).alias("path"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from profilis.functions.dates import micros
-from profilis.functions.stats import guarded, r6, top_k
+from profilis.functions.stats import guarded, quantiles, r6, top_k
 from profilis.operators.sessions import sessionize
 
 
@@ -88,7 +88,8 @@ def last_cart_before(events: DataFrame) -> DataFrame:
 
 
 def cart_to_purchase(events: DataFrame) -> DataFrame:
-    return last_cart_before(events).agg(F.count("*").alias("n"), r6(F.avg("minutes")).alias("mean_minutes"), r6(F.percentile("minutes", F.lit(0.5))).alias("median_minutes"))
+    found = last_cart_before(events)
+    return found.agg(F.count("*").alias("n"), r6(F.avg("minutes")).alias("mean_minutes"), r6(F.lit(quantiles(found, "minutes", [0.5])[0])).alias("median_minutes"))
 
 
 def cart_conversion(events: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from profilis.conf import CONF, EngineConf
 from profilis.functions.dates import days_between, micros
-from profilis.functions.stats import entropy, guarded, r6, top_k
+from profilis.functions.stats import entropy, guarded, quantiles, r6, top_k
 from profilis.operators.sessions import session_table
 
 
@@ -49,9 +49,10 @@ def price_segments(events: DataFrame, least: int = 10) -> DataFrame:
     take part; there are no segments with ``least`` valid ratios or fewer."""
     per = events.groupBy("client_id").agg(F.coalesce(F.avg(_price("product_buy")), F.lit(0.0)).alias("b"), F.coalesce(F.avg(_price("add_to_cart")), F.lit(0.0)).alias("a"))
     ratios = per.where("a > 0").select("client_id", (F.col("b") / F.col("a")).alias("ratio"))
-    edges = ratios.agg(F.percentile("ratio", F.lit(0.33)).alias("low"), F.percentile("ratio", F.lit(0.66)).alias("high"), F.count("*").alias("valid"))
-    segment = F.when(F.col("ratio") <= F.col("low"), "price_sensitive").when(F.col("ratio") >= F.col("high"), "premium").otherwise("balanced")
-    return ratios.join(F.broadcast(edges)).where(F.col("valid") > least).select("client_id", r6(F.col("ratio")).alias("ratio"), segment.alias("segment"))
+    low, high = quantiles(ratios, "ratio", [0.33, 0.66])
+    valid = ratios.agg(F.count("*").alias("valid"))  # one row
+    segment = F.when(F.col("ratio") <= F.lit(low), "price_sensitive").when(F.col("ratio") >= F.lit(high), "premium").otherwise("balanced")
+    return ratios.join(F.broadcast(valid)).where(F.col("valid") > least).select("client_id", r6(F.col("ratio")).alias("ratio"), segment.alias("segment"))
 
 
 def rfm(events: DataFrame, conf: EngineConf = CONF) -> DataFrame:
@@ -77,8 +78,8 @@ def popularity(events: DataFrame, item: str) -> DataFrame:
 
 def popularity_edges(scores: DataFrame) -> DataFrame:
     """Quartile edges of the scores: one row."""
-    q = F.percentile("score", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    return scores.agg(q.alias("q")).select(*[r6(F.col("q")[i]).alias(f"q{i + 1}") for i in range(3)])
+    q = quantiles(scores, "score", [0.25, 0.5, 0.75])
+    return scores.sparkSession.range(1).select(*[r6(F.lit(x)).alias(f"q{i}") for i, x in enumerate(q, 1)])
 
 
 def popularity_quantiles(scores: DataFrame, item: str) -> DataFrame:
@@ -140,16 +141,16 @@ def user_segments(events: DataFrame, conf: EngineConf = CONF) -> DataFrame:
     """Long table (client_id, segment): buyers, activity against 30 days and the median, frequency."""
     per = events.groupBy("client_id").agg(F.count_if(F.col("event_type") == "product_buy").alias("buys"), F.count("*").alias("n"), F.max("timestamp").alias("last"))
     per = per.withColumn("idle", days_between(conf.now, F.col("last")))
-    middle = per.agg(F.percentile("n", F.lit(0.5)).alias("median"))
+    (median,) = quantiles(per, "n", [0.5])
     b = F.col("buys")
     names = F.array_compact(
         F.array(
             F.when(b > 0, "buyers").otherwise("non_buyers"), F.when(F.col("idle") <= 30, "active_absolute").otherwise("inactive_absolute"),
-            F.when(F.col("n") >= F.col("median"), "active_relative").otherwise("inactive_relative"),
+            F.when(F.col("n") >= F.lit(median), "active_relative").otherwise("inactive_relative"),
             F.when(b == 1, "one_time_buyers").when(b.between(2, 5), "occasional_buyers").when(b > 5, "frequent_buyers"),
         )
     )
-    return per.join(F.broadcast(middle)).select("client_id", F.explode(names).alias("segment"))
+    return per.select("client_id", F.explode(names).alias("segment"))
 
 
 def segments_of(segments: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Window as W
 
 from profilis.conf import CONF, EngineConf
 from profilis.functions.dates import days_between, fractional_days, micros, whole_seconds
-from profilis.functions.stats import r6
+from profilis.functions.stats import quantiles, r6
 
 
 def sessionize(events: DataFrame, gap_s: int = CONF.session_gap_s, key: str = "client_id", tie: str = "event_id") -> DataFrame:
@@ -28,9 +28,11 @@ def session_table(events: DataFrame, gap_s: int = CONF.session_gap_s) -> DataFra
 
 def session_stats(events: DataFrame, gap_s: int = CONF.session_gap_s) -> DataFrame:
     """Over all sessions: count, means and medians of length and events."""
-    return session_table(events, gap_s).agg(
-        F.count("*").alias("n_sessions"), r6(F.avg("minutes")).alias("mean_minutes"), r6(F.percentile("minutes", F.lit(0.5))).alias("median_minutes"),
-        r6(F.avg("n_events")).alias("mean_events"), r6(F.percentile("n_events", F.lit(0.5))).alias("median_events"),
+    table = session_table(events, gap_s)
+    median = lambda c: r6(F.lit(quantiles(table, c, [0.5])[0]))
+    return table.agg(
+        F.count("*").alias("n_sessions"), r6(F.avg("minutes")).alias("mean_minutes"), median("minutes").alias("median_minutes"),
+        r6(F.avg("n_events")).alias("mean_events"), median("n_events").alias("median_events"),
     )
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from profilis.operators import extractors, graph
+from profilis.operators import extractors, graph, vectors
 from profilis.plans import profile_queries  # noqa: F401
 from profilis.plans.activity_queries import SESSION_ROWS
 from profilis.plans.behaviour_queries import ASOF
@@ -75,8 +75,24 @@ def url_sku_edges(spark, sf_dir):
     return extractors.url_sku_edges(_with_urls(spark, sf_dir), 86400)
 
 
+#: Pages that have vectors, and clusters of these.
+PAGES, PAGE_CLUSTERS = 500, 20
+
+
+def _page_vectors(spark, sf_dir):
+    """Vectors of the most visited pages from walks over pages and skus."""
+    edges = extractors.url_sku_edges(_with_urls(spark, sf_dir), 86400, PAGES)
+    both = edges.unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w"))
+    return graph.walk_vectors(graph.random_walks(both)).where(F.col("node").startswith("U_"))
+
+
 @query("url_vectors")
 def url_vectors(spark, sf_dir):
-    edges = extractors.url_sku_edges(_with_urls(spark, sf_dir), 86400)
-    both = edges.unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w"))
-    return graph.walk_vectors(graph.random_walks(both))
+    """Each page's vector and its similarity to the centre of all."""
+    v = graph.cut(_page_vectors(spark, sf_dir))
+    return v.join(vectors.similarity_to_centre(v, "node", "vector"), "node")
+
+
+@query("page_clusters")
+def page_clusters(spark, sf_dir):
+    return vectors.clusters(_page_vectors(spark, sf_dir), "node", "vector", PAGE_CLUSTERS)

@@ -5,11 +5,12 @@ import json
 import re
 from datetime import datetime, timedelta
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from profilis.conf import EngineConf
-from profilis.functions import numbers
+from profilis.functions import numbers, stats
 from profilis.functions import text as tx
 from profilis.functions.dates import recency_bucket
 from profilis.operators import dataset, graph, rendering, sequence
@@ -241,6 +242,42 @@ def test_a_round_of_pagerank_exchanges_only_what_is_sent(spark):
     assert plan.count("Exchange hashpartitioning(dst") == 3 and "Exchange hashpartitioning(src" not in plan
 
 
+@pytest.mark.parametrize("at_once", [100_000, 50])
+def test_quantiles_are_exact(spark, monkeypatch, at_once):
+    monkeypatch.setattr(stats, "AT_ONCE", at_once)
+    monkeypatch.setattr(stats, "ACCURACY", 100)
+    rng = np.random.default_rng(3)
+    for values in (rng.normal(size=3000), rng.integers(0, 9, 2000).astype(float), np.repeat(4.0, 500), np.concatenate([np.repeat(1.0, 900), rng.random(700)]), np.array([2.5]), np.zeros(0)):
+        rows = spark.createDataFrame([(float(x),) for x in values] + [(None,)], "x double")
+        got = stats.quantiles(rows, "x", [0.0, 0.25, 0.33, 0.5, 0.66, 1.0])
+        assert got == (pytest.approx(np.quantile(values, [0.0, 0.25, 0.33, 0.5, 0.66, 1.0]).tolist()) if len(values) else [None] * 6)
+
+
+def test_walks_leave_nodes_by_weight(spark):
+    hub = [(0, i, i) for i in range(1, 41)]
+    walks = graph.random_walks(spark.createDataFrame([*hub, *((b, a, 1) for a, b, _ in hub)], "src long, dst long, w long"), per_node=3000, steps=2).where("start = 0")
+    got = {r["to"]: r["n"] for r in walks.select(F.col("path")[1].alias("to")).groupBy("to").agg(F.count("*").alias("n")).collect()}
+    assert sum(got.values()) == 3000 and set(got) <= set(range(1, 41))
+    assert all(abs(got.get(i, 0) - 3000 * i / 820) < 6 * (3000 * i / 820) ** 0.5 + 3 for i in range(1, 41))
+    again = graph.random_walks(spark.createDataFrame([*hub, *((b, a, 1) for a, b, _ in hub)], "src long, dst long, w long"), per_node=2, steps=7)
+    one = sorted(map(str, again.collect()))
+    assert one == sorted(map(str, again.collect())) and all(len(r["path"]) == 7 and all((0 in p) and p[0] != p[1] for p in zip(r["path"], r["path"][1:])) for r in again.collect())
+
+
+def test_versions_limits_and_stats(spark, tmp_path):
+    root = str(tmp_path / "t")
+    assert files.versions(spark, root) == [] and [files.write_versioned(spark.range(n), root) for n in (3, 5)] == [1, 2]
+    assert files.read_version(spark, root).count() == 5 and files.read_version(spark, root, 1).count() == 3 and files.versions(spark, root) == [1, 2]
+    with pytest.raises(FileNotFoundError):
+        files.read_version(spark, root, 7)
+    for n in range(3):
+        (tmp_path / f"f{n}.jsonl").write_text("".join(f'{{"a": {n * 10 + i}}}\n' for i in range(6)))
+    assert sorted(r[0] for r in files.read_json_lines(spark, str(tmp_path / "f*.jsonl"), "a long", 2).collect()) == [0, 1, 10, 11, 20, 21]
+    table = spark.createDataFrame([(1, 2.5, "x")], "n long, m double, s string")
+    files.write_stats(table, str(tmp_path / "stats"))
+    assert files.read_stats(spark, str(tmp_path / "stats"), table.schema).collect() == table.collect()
+
+
 def test_clustering_through_a_hub(spark):
     import itertools
 
