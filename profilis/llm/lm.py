@@ -17,11 +17,12 @@ together.
 
 Defined results: null and empty texts consist of the end token alone; repeated rows count
 and score once each; without training texts all counts are 0 and only the uniform
-estimate is left.
+estimate is left; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -56,7 +57,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 class Block:
     """Tokens of some texts: word numbers, and the sorted hashes of words and pairs."""
 
-    def __init__(self, texts: list[str | None]):
+    def __init__(self, texts: list[bytes]):
         import xxhash
 
         ids = _Ids()
@@ -64,7 +65,7 @@ class Block:
         flat: list[np.ndarray] = []
         sizes = np.zeros(len(texts), dtype=np.int64)
         for i, text in enumerate(texts):
-            words = (text or "").encode().lower().split()
+            words = text.lower().split()
             row = np.empty(len(words) + 2, dtype=np.int64)
             row[0], row[-1] = start, end
             row[1:-1] = np.fromiter(map(ids.__getitem__, words), dtype=np.int64, count=len(words))
@@ -101,6 +102,23 @@ class Block:
         return words.astype(np.int64), np.bincount(self.pair, on, len(self.pair_keys)).astype(np.int64)
 
 
+def _squeezed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts (column 2) as zstandard frames: they are shuffled twice."""
+    import zstandard
+
+    packer = zstandard.ZstdCompressor(level=3)
+    for batch in batches:
+        frames = [packer.compress((t or "").encode()) for t in batch.column(2).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(frames, pa.binary()), batch.column(3)], names=["block", "id", "text", "train"])
+
+
+def _texts(column: pa.ChunkedArray) -> list[bytes]:
+    import zstandard
+
+    unpacker = zstandard.ZstdDecompressor()
+    return [unpacker.decompress(x) for x in column.to_pylist()]
+
+
 def _pack(values: np.ndarray) -> bytes:
     """Numbers as zstandard-compressed byte planes, of their differences if they are keys."""
     import zstandard
@@ -184,11 +202,12 @@ class Model:
         deleted = trains & (F.pmod(turn, F.lit(DELETED)) == 0)
         spread = F.xxhash64(F.col(id_col), F.xxhash64(text_col), F.lit(5))
         block = F.when(deleted, F.pmod(spread, F.lit(deleted_blocks))).otherwise(deleted_blocks + F.pmod(spread, F.lit(blocks)))
-        self.docs = docs.select(block.cast("int").alias("block"), F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.coalesce(trains, F.lit(False)).alias("train"))
+        dealt = docs.select(block.cast("int").alias("block"), F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.coalesce(trains, F.lit(False)).alias("train"))
+        self.docs = dealt.mapInArrow(_squeezed, f"block int, id {docs.schema[id_col].dataType.simpleString()}, text binary, train boolean")
         self.deleted_blocks = deleted_blocks
 
         def ask(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-            block = Block(table["text"].to_pylist())
+            block = Block(_texts(table["text"]))
             rows = []
             for kind, keys, counts in zip((1, 2), (block.keys, block.pair_keys), block.counts(table["train"].to_numpy().astype(bool)), strict=True):
                 at = _ranges(keys, buckets)
@@ -234,7 +253,7 @@ class Model:
                 return pa.table({n: pa.array([], t) for n, t in zip(*_empty(schema), strict=True)})
             rows = sorted(right.select(["kind", "bucket", "counts", "deleted"]).to_pylist(), key=lambda r: (r["kind"], r["bucket"]))
             counts, gone = ([np.concatenate([_unpack(r[c], np.uint32) for r in rows if r["kind"] == k and r[c] is not None] or [np.zeros(0, np.int64)]) for k in (1, 2)] for c in ("counts", "deleted"))
-            return of_block(left, Block(left["text"].to_pylist()), counts, gone)
+            return of_block(left, Block(_texts(left["text"])), counts, gone)
 
         return docs.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, schema)
 
