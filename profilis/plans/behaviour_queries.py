@@ -70,7 +70,7 @@ def history_windows(spark, sf_dir):
 
 
 @query("history_lines", X + f""", r as (select *, row_number() over (partition by client_id order by timestamp desc, event_id desc) as r from x where epoch_us(timestamp) >= epoch_us({NOW}) - 14 * 86400000000)
-select client_id, cast(-r as integer) as pos, '[' || strftime(timestamp, '%Y%m%d-%H%M') || '] E:' || event_type || coalesce(' S:' || sku, '') || coalesce(' C:' || category_id, '') || coalesce(' P:' || price_bucket, '') as line from r where r <= 30""")
+select client_id, cast(-r as integer) as pos, '[' || strftime(timestamp, '%Y%m%d-%H%M') || '] E:' || event_type || case when sku is not null then ' S:' || sku || coalesce(' C:' || category_id, '') || coalesce(' P:' || price_bucket, '') when query is not null then ' Q:' || lpad(cast(cast('0x' || substr(md5(query), 1, 13) as bigint) % 10000 as varchar), 4, '0') else '' end as line from r where r <= 30""")
 def history_lines(spark, sf_dir):
     return sequence.recent_lines(client_events(spark, sf_dir))
 
