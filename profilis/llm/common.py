@@ -11,24 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from profilis.runtime import ship
-
-#: Rows an Arrow batch may hold; with texts of 100 KB a batch stays near 50 MB.
-BATCH_ROWS = 512
-#: Bytes an Arrow batch may hold where Spark offers that limit.
-BATCH_BYTES = 16 << 20
-
-
-def small_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches small enough for Python workers when texts are long; ship the package.
-
-    Both limits are settings of the session, as Spark offers no other place for them; every
-    operator with Python workers asks for the same, so none depends on which ran before.
-    """
-    ship(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is not None:
-        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+from profilis.runtime import small_batches  # noqa: F401  (operators take it from here)
 
 
 def cut(df: DataFrame) -> DataFrame:
