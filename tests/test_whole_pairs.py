@@ -43,3 +43,14 @@ def test_lines_of_all_pairs(spark):
 
 def test_wide_lines_have_no_cap_in_their_sql():
     assert "r <= 20" not in catalogue.ORACLES["profile_lines_wide"]
+
+
+def test_reports_have_no_cap_in_their_sql():
+    assert "r <= 20" not in catalogue.ORACLES["status_report"]
+
+
+def test_graphs_of_all_skus(spark):
+    """Without a list of skus the product graph of the report's profiles has all of them: 31 and 90 nodes."""
+    tables = rendering.derived_tables(events(spark).selectExpr("*", "sku as category_id", "0 as price_bucket"))
+    graphs = {r["client_id"]: r["product_graph"] for r in rendering.product_graph(events(spark), tables, EngineConf(pair_items=None)).collect()}
+    assert {c: lines[0] for c, lines in graphs.items()} == {1: "Product exploration: 31 unique.", 2: "Product exploration: 90 unique."}
